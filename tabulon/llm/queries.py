@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontam, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {"op6_simhash": op6_simhash, "op9_winnowing": op9_winnowing}
+
+ORACLE_SQL: dict[str, str] = {"op9_winnowing": decontam.ORACLE}
