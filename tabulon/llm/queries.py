@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, simhash
+from . import decontam, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op9_winnowing": op9_winnowing}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op6_simhash": op6_simhash,
+    "op9_winnowing": op9_winnowing,
+    "op10_packing": op10_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {"op9_winnowing": decontam.ORACLE}
