@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, simhash
+from . import decontam, packing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op9_winnowing": op9_winnowing,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_winnowing": decontam.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_secrets": secrets.ORACLE, "op9_winnowing": decontam.ORACLE}
