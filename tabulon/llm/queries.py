@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, packing, secrets, simhash
+from . import decontam, langid, packing, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +24,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, held_out=quality.fold)
+    return quality.scored(docs, model).select("doc_id", quality.fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, held_out=quality.fold)
+    return langid.predict(docs, model).select("doc_id", quality.fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op9_winnowing": op9_winnowing,
