@@ -139,8 +139,8 @@ def _row(n_words: int, spans, names, share: int) -> tuple[int, int, str, bool]:
     return n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n_words
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document SCHEMA's columns: contaminated if at least 1/share of its words lie in an occurrence of an item's window. keep: columns that are passed on (one block only)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document SCHEMA's columns: contaminated if at least 1/share of its words lie in an occurrence of an item's window."""
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), utf8(item_text_col).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -189,6 +189,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return both.mapInArrow(settle, SCHEMA)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated, unchanged. A test set of one block is matched in place, without a shuffle."""
+    items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), utf8(item_text_col).alias("text"))
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > block_bytes:
+        found = contamination(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, share, block_bytes)
+        return docs.join(found.where("contaminated").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect() if r.item is not None])  # at most block_bytes
+
+    def run(batches):
+        test = TestSet(shared.value, window)
+        for batch in batches:
+            k, keep = batch.num_columns - 1, np.ones(batch.num_rows, bool)
+            for a, _, raw, offs in slices(batch, k):
+                data = LOWER[raw]
+                starts, ends, first = words(data, offs, ALNUM)
+                for row, spans in test.hits(data, starts, ends, first)[0].items():
+                    keep[a + row] = share * merged(spans) < first[row + 1] - first[row]
+            yield pa.RecordBatch.from_arrays(batch.columns[:k], batch.schema.names[:k]).filter(pa.array(keep))
+
+    return docs.withColumn("_decontam_text", utf8(text_col)).mapInArrow(run, docs.schema)
+
+
 #: DuckDB SQL of the registered query.
 ORACLE = r"""
 WITH d AS (

@@ -6,6 +6,10 @@ allots the thresholds (-1 leaves a part out) by estimated rows sent and candidat
 its own value of each part and to the values within the threshold (from one side of a pair only); each bucket is verified exactly
 and gives a spanning forest of its links instead of all its pairs, so a group of g near copies gives at most g edges a bucket.
 
+`similar_groups` serves pipelines: near copies by Jaccard similarity of word shingles. Candidates are links of SimHash fingerprints of
+each text's distinct words, reduced in every bucket to a minimum spanning forest by differing bits (near copies are joined through
+their nearest neighbours), and every edge is verified on the whole shingle sets.
+
 Defined results: null or empty text has fingerprint zero, which links like any other; repeated rows share a fingerprint; an empty
 table gives an empty result; other columns of the input are ignored whatever their names.
 """
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import mix, utf8
+from ._text import LOWER, NOT_SPACE, mix, slices, span_hashes, utf8, words
 from .components import component_roots
 
 #: Seed of the shingle hash.
@@ -230,13 +234,40 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _bucket_links(own: np.ndarray, probing: np.ndarray, radius: int, depth: int = 0) -> list[np.ndarray]:
+def _spanning(edges: np.ndarray) -> np.ndarray:
+    """As many edges as span the components of the edges (2 x e); their ends need not be linked themselves."""
+    nodes, flat = np.unique(edges, return_inverse=True)
+    flat = flat.reshape(edges.shape)
+    label = forest(len(nodes), flat[0], flat[1])
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[away], nodes[label[away]]])
+
+
+def _nearest(edges: np.ndarray) -> np.ndarray:
+    """Of the edges, those of a minimum spanning forest by differing bits (a few more where several are as near)."""
+    nodes, flat = np.unique(edges, return_inverse=True)
+    flat = flat.reshape(edges.shape)
+    far = np.bitwise_count(edges[0] ^ edges[1])
+    label, chosen = np.arange(len(nodes)), []
+    for d in np.unique(far):
+        at = np.flatnonzero(far == d)
+        while True:
+            at = at[label[flat[0, at]] != label[flat[1, at]]]
+            if not len(at):
+                break
+            pick = np.unique(np.concatenate([at[np.unique(label[flat[side, at]], return_index=True)[1]] for side in (0, 1)]))
+            chosen.append(pick)
+            label = forest(len(nodes), np.append(flat[0, pick], np.arange(len(nodes))), np.append(flat[1, pick], label))
+    return edges[:, np.concatenate(chosen)] if chosen else edges[:, :0]
+
+
+def _bucket_links(own: np.ndarray, probing: np.ndarray, radius: int, reduce=_spanning, depth: int = 0) -> list[np.ndarray]:
     """Edges (2 x e) that span the links among own, and between own and probing. Memory is linear in the members."""
-    if len(own) > _DENSE and depth < 3 and radius < 8:
+    if len(own) > _DENSE and depth < 3 and radius < 12:
         # Linked pairs agree on one of radius + 1 groups of bits at least: compare within equal groups only.
         found, width = [], 64 // (radius + 1)
         for g in range(radius + 1):
-            bits = range((g * width + 7 * depth) % 64, (g * width + 7 * depth) % 64 + (width if g < radius else 64 - radius * width))
+            bits = range(g * width + 7 * depth, g * width + 7 * depth + (width if g < radius else 64 - radius * width))
             mask = np.uint64(sum(1 << (b % 64) for b in bits))
             both = np.concatenate([own, probing])
             key = both & mask
@@ -244,7 +275,7 @@ def _bucket_links(own: np.ndarray, probing: np.ndarray, radius: int, depth: int
             runs = np.flatnonzero(np.diff(key[order])) + 1
             for run in np.split(order, runs):
                 if len(run) > 1 and (inside := own[run[run < len(own)]]).size:
-                    found += _bucket_links(inside, both[run[run >= len(own)]], radius, depth + 1 if len(run) < 0.9 * len(both) else 3)
+                    found += _bucket_links(inside, both[run[run >= len(own)]], radius, reduce, depth + 1 if len(run) < 0.9 * len(both) else 3)
         return found
     found = []
     for side, triangle in ((own, True), (probing, False)):
@@ -255,19 +286,11 @@ def _bucket_links(own: np.ndarray, probing: np.ndarray, radius: int, depth: int
                 keep = i + at < j
                 i, j = i[keep], j[keep]
             if len(i):
-                found.append(_spanning(np.stack([side[at + i], own[j]])))
+                found.append(reduce(np.stack([side[at + i], own[j]])))
     return found
 
 
-def _spanning(edges: np.ndarray) -> np.ndarray:
-    nodes, flat = np.unique(edges, return_inverse=True)
-    flat = flat.reshape(edges.shape)
-    label = forest(len(nodes), flat[0], flat[1])
-    away = np.flatnonzero(label != np.arange(len(nodes)))
-    return np.stack([nodes[away], nodes[label[away]]])
-
-
-def _links(batches, radius: int):
+def _links(batches, radius: int, reduce=_spanning):
     """Batches (key, fp, probe) sorted by key to edges (a, b) that span each bucket's links."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -291,30 +314,36 @@ def _links(batches, radius: int):
                 edges.append(np.stack([f[i], f[i + step]]))
         for b in np.flatnonzero(big):
             part = slice(starts[b], starts[b] + sizes[b])
-            edges += _bucket_links(fp[part][~probe[part]], fp[part][probe[part]], radius)
+            edges += _bucket_links(fp[part][~probe[part]], fp[part][probe[part]], radius, reduce)
         if edges:
-            out = _spanning(np.concatenate(edges, axis=1))
+            out = reduce(np.concatenate(edges, axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64))], ["a", "b"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         now = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False))
-        last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
+        last = np.searchsorted(now[0], now[0][-1])
         if last:
             held.append(tuple(x[:last] for x in now))
             if sum(len(h[0]) for h in held) >= 50_000:
                 yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
         held.append(tuple(x[last:] for x in now))
-    if sum(len(h[0]) for h in held):
+    if held:
         yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def linked_fingerprints(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """Distinct fingerprints (fp long) to edges (a, b) whose components are those of all pairs at radius or fewer differing bits."""
+def fingerprint_edges(fps: DataFrame, radius: int, reduce=_spanning) -> DataFrame:
+    """Distinct fingerprints (fp long) to edges (a, b) that span each bucket's links."""
     n, both = bit_moments(fps)
-    probes = allot(n, both, radius)
-    entries = _entries(fps, probes).repartition("key").sortWithinPartitions("key")
-    return component_roots(entries.mapInArrow(lambda it: _links(it, radius), "a long, b long"), scratch)
+    entries = _entries(fps, allot(n, both, radius)).repartition("key").sortWithinPartitions("key")
+    return entries.mapInArrow(lambda it: _links(it, radius, reduce), "a long, b long")
+
+
+def linked_fingerprints(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Distinct fingerprints (fp long) to (a, b: the component's least), with the components of all pairs at radius or fewer differing bits."""
+    return component_roots(fingerprint_edges(fps, radius), scratch)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
@@ -327,3 +356,108 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "component_id")
     return each.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and shingle hashes of lower-cased texts, with the row of each. Fewer than k words are one shingle."""
+    low = LOWER[data]
+    starts, ends, first = words(low, offs, NOT_SPACE)
+    each = span_hashes(low, starts, ends)
+    count = np.diff(first)
+    row = np.repeat(np.arange(len(count)), count)
+    n = max(len(each) - k + 1, 0)
+    grams = np.zeros(n, np.uint64)
+    for j in range(k):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
+    inside = row[:n] == row[k - 1 : k - 1 + n]
+    short = np.flatnonzero((count > 0) & (count < k))
+    if len(short):
+        whole = np.array([int(np.bitwise_xor.reduce(mix(each[first[r] : first[r + 1]] * np.arange(1, 2 * count[r], 2, dtype=np.uint64)))) for r in short], np.uint64)
+        return each, row, np.concatenate([mix(grams[inside]), whole]), np.concatenate([row[:n][inside], short])
+    return each, row, mix(grams[inside]), row[:n][inside]
+
+
+def _unique(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
+
+
+def _features(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n: distinct shingles, s1 and s2: digest of the shingle set, fp: SimHash of the distinct words)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a, b, data, offs in slices(batch, 1):
+                each, row, grams, gram_row = _shingles(data, offs, k)
+                g, r = _unique(grams, gram_row)
+                size = np.bincount(r, minlength=b - a)
+                s1, s2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+                np.add.at(s1, r, mix(g))
+                np.bitwise_xor.at(s2, r, mix(g + np.uint64(0x632BE59BD9B4E019)))
+                w, r = _unique(each, row)
+                votes, count = np.zeros((b - a, 64), np.int64), np.bincount(r, minlength=b - a)
+                at = 0
+                while at < len(w):  # blocks, so that bits take bounded memory
+                    to = min(len(w), at + _BLOCK)
+                    bits = np.unpackbits(w[at:to].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    begins = np.flatnonzero(np.concatenate([[True], r[at + 1 : to] != r[at : to - 1]]))
+                    np.add.at(votes, r[at + begins], np.add.reduceat(bits, begins, axis=0, dtype=np.int64))
+                    at = to
+                fp = np.packbits(votes * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
+                out.append((size, s1.view(np.int64), s2.view(np.int64), fp.astype(np.uint64).view(np.int64)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", "n", "s1", "s2", "fp"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, fp long")
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            values, sizes = [], []
+            for a, b, data, offs in slices(batch, 1):
+                _, _, grams, row = _shingles(data, offs, k)
+                g, r = _unique(grams, row)
+                values.append(g.view(np.int64))
+                sizes.append(np.bincount(r, minlength=b - a))
+            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "s"])
+
+    return docs.mapInArrow(run, "doc_id long, s array<long>")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
+    """(doc_id, keep_id: the least doc_id of its group) of each row. Groups are the components of verified edges at that Jaccard similarity of k-word shingle sets.
+
+    Texts of one shingle set (exact copies among them, and all texts without words) are one group before any pair is formed.
+    """
+    scratch = Scratch(docs.sparkSession, "groups")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    each = scratch.save(_features(texts, k), "features")
+    reps = scratch.save(each.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n")), "reps")
+    # Sets of fewer members are as similar as that only if they are equal.
+    able = reps.where(F.col("n") >= int(similarity / (1 - similarity) + 1e-9))
+    classes = scratch.save(able.groupBy("fp").agg(F.min("rep").alias("first")), "classes")
+    first = classes.select(F.col("fp").alias("a"), F.col("first").alias("x")), classes.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    across = fingerprint_edges(classes, radius, _nearest).distinct().join(first[0], "a").join(first[1], "b").select("x", "y")
+    same = able.join(classes, "fp").where("rep <> first").select(F.col("rep").alias("x"), F.col("first").alias("y"))
+    edges = scratch.save(across.union(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges0x")
+    ends = edges.select(F.col("x").alias("doc_id")).union(edges.select("y")).distinct()
+    sets = scratch.save(_sets(texts.join(ends, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    good = edges.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
+    roots = component_roots(good.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    rooted = reps.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("keep_id"))
+    return each.join(rooted, ["s1", "s2"]).select("doc_id", "keep_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
+    """One row of each group of similar_groups: that of the least doc_id; rows of one doc_id are one document."""
+    groups = similar_groups(docs, id_col, text_col, k, similarity, radius)
+    kept = groups.where("doc_id = keep_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
