@@ -35,10 +35,13 @@ from ._text import utf8
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
-_ASCII_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-#: ASCII words that the tokenizer's pattern cuts only between letters, digits and other characters.
-_PLAIN = re.compile(rb"[!-&(-;=-~]+")
+CACHE_WORDS = 700_000
+#: Words of ASCII and Latin-1 letters: no apostrophe, no `<`, no combining characters, so they are cut only between letters, single digits and other characters.
+_PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Bytes as the characters that a byte-level vocabulary is written in: visible Latin-1 as itself, the others from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _WORKERS: dict[int, WordCoder] = {}
 
 
@@ -56,18 +59,23 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
-        if _PLAIN.fullmatch(word):
+        text = word.decode()
+        if _PLAIN.fullmatch(text):
             out = b""
-            for part in _ASCII_PARTS.findall(word.lower()):
+            for part in _PARTS.findall(text.lower()):
                 if (ids := self.parts.get(part)) is None:
-                    found = [t.id for t in self.tokenizer.model.tokenize(part.decode())]
-                    ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
+                    written = part if part.isascii() else part.encode().decode("latin-1").translate(_AS_CHARS)
+                    found = [t.id for t in self.tokenizer.model.tokenize(written)]
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                    if len(self.parts) >= CACHE_WORDS:
+                        self.parts.clear()
+                    self.parts[part] = ids
                 out += ids
             return out
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
@@ -78,8 +86,6 @@ class WordCoder:
                 if len(word) <= 64:
                     if len(words) >= CACHE_WORDS:
                         words.clear()
-                    if len(self.parts) >= CACHE_WORDS:
-                        self.parts.clear()
                     words[word] = ids
             out.append(ids)
         return b"".join(out)

@@ -43,7 +43,7 @@ def test_words_coded_alone_equal_the_whole_text():
     tk = Tokenizer.from_file(packing.default_tokenizer())
     coder = packing.WordCoder(open(packing.default_tokenizer()).read())
     rng = random.Random(1)
-    odd = ["don't", "it's", "<|endoftext|>", "a<|endoftext|>b", "É", "é", "ß", "\x1c", "a\x1fb", " x y", "12ab34", "''s", "x'LL", "😀", "​", "İ", "Σας", "a.b,c!!", "***", "\x7f", "́", "½", "日本語", "|", "&lt;", "A"]
+    odd = ["don't", "it's", "<|endoftext|>", "a<|endoftext|>b", "É", "é", "ß", "\x1c", "a\x1fb", " x y", "12ab34", "''s", "x'LL", "😀", "​", "İ", "Σας", "a.b,c!!", "***", "\x7f", "́", "½", "Ça", "naïve", "STRAẞE", "straße", "ÿ", "×", "÷", "µ", "ÀÖØÞ", "e\u0301", "日本語", "|", "&lt;", "A"]
     for _ in range(3000):
         text = "".join(rng.choice([" ", "\n", "\t ", "\x0b", ""]) + rng.choice(odd) for _ in range(rng.randint(0, 9)))
         assert list(np.frombuffer(coder.encode(text.encode()), "<u4")) == tk.encode(text, add_special_tokens=False).ids, repr(text)
