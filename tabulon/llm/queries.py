@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, secrets, simhash
+from . import decontam, langid, packing, quality, secrets, simhash, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
+def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
+    "op7_tokencount": op7_tokencount,
     "op9_winnowing": op9_winnowing,
     "op10_packing": op10_packing,
 }
