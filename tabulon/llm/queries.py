@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, secrets, simhash, tokencount
+from . import decontam, langid, packing, quality, secrets, simhash, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.records_of_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.withColumn("headers", warc.headers_text(F.col("headers")))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +55,9 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op7_tokencount": op7_tokencount,
+    "op8_warc": op8_warc,
     "op9_winnowing": op9_winnowing,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_secrets": secrets.ORACLE, "op9_winnowing": decontam.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_secrets": secrets.ORACLE, "op8_warc": warc.ORACLE, "op9_winnowing": decontam.ORACLE}
