@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, packing, quality, secrets, simhash, tokencount, warc
+from . import ann, decontam, hpylm, langid, packing, quality, secrets, simhash, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", quality.fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(_table(spark, sf_dir, "documents"), lambda i: quality.fold(i, 7, 2))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
 
@@ -56,6 +60,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_hpylm": op3_hpylm,
     "op4_neighbours": op4_neighbours,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
