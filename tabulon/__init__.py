@@ -1,0 +1 @@
+"""Tabulon: single-table analytics in a MySQL dialect, on Spark DataFrames."""
