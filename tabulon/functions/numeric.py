@@ -4,8 +4,6 @@ Division by zero gives null; integers overflow with an error (ANSI); `/` of exac
 digits, half even; DIV truncates exact numbers toward zero and floors floating ones; the remainder has the dividend's sign.
 """
 
-from __future__ import annotations
-
 import zlib
 
 from pyspark.sql import Column
