@@ -156,8 +156,8 @@ def _chance(part: list[int], n: int, both: np.ndarray) -> np.ndarray:
     return out
 
 
-def allot(n: int, both: np.ndarray, radius: int, pair_cost: float = 0.01) -> list[Probe]:
-    """Parts and thresholds of least estimated cost: rows sent, plus pair_cost for each candidate pair. Exact for every outcome."""
+def allot(n: int, both: np.ndarray, radius: int, pair_cost: float = 0.002) -> list[Probe]:
+    """Parts and thresholds of least estimated cost: rows sent, plus pair_cost for each candidate pair (a row takes some 3 us, a pair some 5 ns). Exact for every outcome."""
     best: tuple[float, list[Probe]] | None = None
     for m in range(1, radius + 2):
         parts, need = _groups(n, both, m), radius - m + 1
