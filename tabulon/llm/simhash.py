@@ -30,6 +30,8 @@ from .components import component_roots
 
 #: Seed of the shingle hash.
 SEED = 42
+#: Ids (16 MB) up to which a set of them is broadcast; larger sets are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 15
 #: Members of a bucket up to which all its pairs are compared at once; larger ones are first split by further bits.
@@ -448,7 +450,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = able.join(classes, "fp").where("rep <> first").select(F.col("rep").alias("x"), F.col("first").alias("y"))
     edges = scratch.save(across.union(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges0x")
     ends = edges.select(F.col("x").alias("doc_id")).union(edges.select("y")).distinct()
-    sets = scratch.save(_sets(texts.join(ends, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.save(_sets(texts.join(_few(ends), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
     shared = F.size(F.array_intersect("sx", "sy"))
     good = edges.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
     roots = component_roots(good.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
@@ -458,6 +460,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
     """One row of each group of similar_groups: that of the least doc_id; rows of one doc_id are one document."""
-    groups = similar_groups(docs, id_col, text_col, k, similarity, radius)
-    kept = groups.where("doc_id = keep_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "copies")
+    groups = scratch.save(similar_groups(docs, id_col, text_col, k, similarity, radius), "groups")
+    lost = groups.where("doc_id <> keep_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(_few(lost), id_col, "left_anti").select(*docs.columns)
+    again = groups.where("doc_id = keep_id").groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col)
+    if not again.limit(1).count():
+        return kept
+    again = scratch.save(again, "again")
+    return kept.join(_few(again), id_col, "left_anti").select(*docs.columns).unionAll(kept.join(_few(again), id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids with a broadcast hint if they are counted to be few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
