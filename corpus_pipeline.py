@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import decontam, packing, quality, secrets, simhash
 from tabulon.llm._store import Scratch
+from tabulon.shipping import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is at least quality.KEEP_FROM; the rules are learned from labelled rows outside the held-out fold."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=quality.fold)
+    model = quality.fit(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"), held_out=quality.fold)
     return quality.scored(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the least doc_id, of each group of documents whose five-word shingle sets are 0.8 similar or more."""
+    ship(spark)
     return simhash.without_near_copies(docs, k=5, similarity=0.8)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of which less than a twentieth of the words lie in 13-word windows of benchmark items."""
-    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.without_contaminated(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +39,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows, placed in sequences of 4,096 tokens."""
+    ship(spark)
     return packing.pack(docs)
 
 
