@@ -178,11 +178,11 @@ def pack_time(x: Column) -> Column:
 
 
 def unpack_time(n: Column) -> Column:
-    """[-]hhmmss as a day-time interval; null if minutes or seconds exceed 59."""
+    """[-]hhmmss as a day-time interval; null beyond 838:59:59 or if minutes or seconds exceed 59."""
     a = F.abs(n.cast("long"))
     sign = F.when(n < 0, -1).otherwise(1)
     total = sign * (F.floor(a / 10000) * 3600 + F.floor(a / 100) % 100 * 60 + a % 100)
-    return F.when((F.floor(a / 100) % 100 < 60) & (a % 100 < 60), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), total.cast("decimal(18,6)")))
+    return F.when((a < 8_390_000) & (F.floor(a / 100) % 100 < 60) & (a % 100 < 60), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), total.try_cast("decimal(18,6)")))
 
 
 def interval_seconds(x: Column) -> Column:
