@@ -36,12 +36,12 @@ def utf8(column: str) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets of the rows in the bytes) of runs of rows of about SLICE_BYTES."""
+    """(first row, row after the last, bytes, offsets of the rows in the bytes) of runs of rows of about SLICE_BYTES. Nulls have no bytes."""
     arr = batch.column(column)
     n = len(arr)
     if not n:
         return
-    kind = np.int64 if pa.types.is_large_binary(arr.type) else np.int32
+    kind = np.int64 if pa.types.is_large_binary(arr.type) or pa.types.is_large_string(arr.type) else np.int32
     offs = np.frombuffer(arr.buffers()[1], kind)[arr.offset : arr.offset + n + 1].astype(np.int64)
     data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)
     a = 0

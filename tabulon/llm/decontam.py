@@ -196,19 +196,20 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
         found = contamination(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, share, block_bytes)
         return docs.join(found.where("contaminated").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect() if r.item is not None])  # at most block_bytes
+    at = docs.columns.index(text_col)
 
     def run(batches):
         test = TestSet(shared.value, window)
         for batch in batches:
-            k, keep = batch.num_columns - 1, np.ones(batch.num_rows, bool)
-            for a, _, raw, offs in slices(batch, k):
+            keep = np.ones(batch.num_rows, bool)
+            for a, _, raw, offs in slices(batch, at):
                 data = LOWER[raw]
                 starts, ends, first = words(data, offs, ALNUM)
                 for row, spans in test.hits(data, starts, ends, first)[0].items():
                     keep[a + row] = share * merged(spans) < first[row + 1] - first[row]
-            yield pa.RecordBatch.from_arrays(batch.columns[:k], batch.schema.names[:k]).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
-    return docs.withColumn("_decontam_text", utf8(text_col)).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: DuckDB SQL of the registered query.

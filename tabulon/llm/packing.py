@@ -35,7 +35,8 @@ from ._text import utf8
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
+CACHE_PARTS = 150_000
 #: Words of ASCII and Latin-1 letters: no apostrophe, no `<`, no combining characters, so they are cut only between letters, single digits and other characters.
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -70,7 +71,7 @@ class WordCoder:
                     written = part if part.isascii() else part.encode().decode("latin-1").translate(_AS_CHARS)
                     found = [t.id for t in self.tokenizer.model.tokenize(written)]
                     ids = struct.pack(f"<{len(found)}I", *found)
-                    if len(self.parts) >= CACHE_WORDS:
+                    if len(self.parts) >= CACHE_PARTS:
                         self.parts.clear()
                     self.parts[part] = ids
                 out += ids

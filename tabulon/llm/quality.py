@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import LOWER, NOT_SPACE, byte_class, mix, slices, span_hashes, utf8, words
+from ._text import LOWER, NOT_SPACE, byte_class, mix, slices, span_hashes, words
 
 #: Most labelled rows to learn from: those of least hash of their doc_id.
 SAMPLE_ROWS = 20_000
@@ -107,15 +107,15 @@ def text_stats(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a double column `_q_<name>` for each of STATS."""
 
+    at = docs.columns.index(text_col)  # an Arrow string has the same buffers as its bytes: the text is passed once
+
     def run(batches):
         for batch in batches:
-            k = batch.num_columns - 1
-            found = [text_stats(data, offs) for _, _, data, offs in slices(batch, k)]
+            found = [text_stats(data, offs) for _, _, data, offs in slices(batch, at)]
             stats = np.concatenate(found) if found else np.zeros((0, len(STATS)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(stats[:, j]) for j in range(len(STATS)))], [*batch.schema.names[:k], *(f"_q_{x}" for x in STATS)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[:, j]) for j in range(len(STATS)))], [*batch.schema.names, *(f"_q_{x}" for x in STATS)])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{x}", T.DoubleType()) for x in STATS)])
-    return docs.withColumn("_q_text", utf8(text_col)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{x}", T.DoubleType()) for x in STATS)]))
 
 
 @dataclass(frozen=True)
