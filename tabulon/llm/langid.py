@@ -25,8 +25,8 @@ from ._text import slices, utf8
 FEATURES = 1 << 15
 #: Most languages that can be told apart; more raise an error.
 MAX_LANGUAGES = 1000
-#: Share of the codeword's weight by which the runner-up must lose.
-AMBIGUOUS = 0.05
+#: Loss by which the runner-up must lose at least.
+AMBIGUOUS = 0.25
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
