@@ -155,6 +155,24 @@ def test_definitions_and_checks(engine, spark, tmp_path):
     assert e("commit").first()[0] == 0
 
 
+def test_transactions(engine):
+    e = engine.execute
+    e("begin")
+    e("update t set age = 0 where id = 1")
+    assert rows(engine, "select age from t where id = 1") == [(0,)]
+    e("rollback")
+    assert rows(engine, "select age from t where id = 1") == [(28,)]
+    e("start transaction")
+    e("delete from t where id = 2")
+    e("commit")
+    e("rollback")
+    assert rows(engine, "select count(*) from t") == [(5,)]
+    e("set autocommit = 0")
+    e("delete from t where id = 3")
+    e("rollback")
+    assert rows(engine, "select count(*) from t") == [(5,)]
+
+
 def test_analyze(engine):
     got = {r.column_name: r for r in engine.execute("analyze table t").collect()}
     assert got["age"].row_count == 6 and got["age"].distinct_count == 4 and got["age"].min_value == "27"

@@ -143,3 +143,25 @@ def test_change_capture_by_stream_is_idempotent(spark, tmp_path):
     log = spark.createDataFrame(changes, kind)
     base = spark.createDataFrame([(3, "old", 0)], "k int, v string, at long")
     assert sorted(map(tuple, cdc.apply(base, log.union(log), ("k",), ("at",)).collect())) == [(1, "c", 3), (3, "d", 5)]
+
+
+def test_key_value(spark):
+    from tabulon.sources.keyvalue import KeyValue
+
+    kv = KeyValue(spark)
+    kv.set({b"a": b"1", b"b": b"2"})
+    kv.set({b"a": b"3"})
+    kv.hset(b"h", {"x": b"9", "y": b"8"})
+    assert kv.get([b"a", b"b", b"c"]) == {b"a": b"3", b"b": b"2"}
+    assert kv.hget(b"h") == {"x": b"9", "y": b"8"} and kv.hget(b"h", ["y"]) == {"y": b"8"}
+    kv.hset(b"h", {"x": b"7"})
+    kv.delete([b"b"])
+    assert kv.get([b"a", b"b"]) == {b"a": b"3"} and kv.hget(b"h", ["x"]) == {"x": b"7"}
+
+
+def test_trace_counts_rows_on_the_way(orders):
+    from tabulon.operators.trace import traced
+
+    few, seen = traced(orders.where("o_orderkey < 100"), "few")
+    n = few.count()
+    assert seen.get["rows"] == n == orders.where("o_orderkey < 100").count()
