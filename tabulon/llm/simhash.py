@@ -7,8 +7,8 @@ its own value of each part and to the values within the threshold (from one side
 and gives a spanning forest of its links instead of all its pairs, so a group of g near copies gives at most g edges a bucket.
 
 `similar_groups` serves pipelines: near copies by Jaccard similarity of word shingles. Candidates are links of SimHash fingerprints of
-each text's distinct words, reduced in every bucket to a minimum spanning forest by differing bits (near copies are joined through
-their nearest neighbours), and every edge is verified on the whole shingle sets.
+each text's distinct words, reduced in every bucket to each one's nearest neighbours and a minimum spanning forest by differing bits
+(linear in the texts, where all pairs of a group are not), and every edge is verified on the whole shingle sets.
 
 Defined results: null or empty text has fingerprint zero, which links like any other; repeated rows share a fingerprint; an empty
 table gives an empty result; other columns of the input are ignored whatever their names.
@@ -32,6 +32,8 @@ from .components import component_roots
 SEED = 42
 #: Ids (16 MB) up to which a set of them is broadcast; larger sets are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Nearest fingerprints that each one is compared with in any case, besides the minimum spanning forest.
+NEIGHBOURS = 6
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 15
 #: Members of a bucket up to which all its pairs are compared at once; larger ones are first split by further bits.
@@ -197,30 +199,32 @@ def _probe(part: list[int], t: int) -> Probe:
 
 
 def _entries(fps: DataFrame, probes: list[Probe]) -> DataFrame:
-    """(key, fp, probe): a fingerprint under its own value of each part (probe false), and under near values (probe true).
+    """(key, fp, fine, node, probe): a fingerprint under its own value of each part (probe false), and under near values (probe true).
 
-    Of two values that differ, only the one whose highest differing bit is set probes the other.
+    Of two values that differ, only the one whose highest differing bit is set probes the other. fine and node are passed on.
     """
 
     def run(batches):
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            passed = [batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)]
             for at in range(0, len(every), 1 << 13):
                 fp = every[at : at + (1 << 13)]
-                keys, fps_, roles = [], [], []
+                keys, rows, roles = [], [], []
                 for k, p in enumerate(probes):
                     own, salt = fp & np.uint64(p.mask), np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
                     keys.append(mix(own + salt))
-                    fps_.append(fp)
+                    rows.append(np.arange(len(fp)))
                     roles.append(np.zeros(len(fp), bool))
                     for flip in p.flips:
-                        on = (own & np.uint64(1 << (flip.bit_length() - 1))) != 0
+                        on = np.flatnonzero(own & np.uint64(1 << (flip.bit_length() - 1)))
                         keys.append(mix((own[on] ^ np.uint64(flip)) + salt))
-                        fps_.append(fp[on])
-                        roles.append(np.ones(int(on.sum()), bool))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps_).view(np.int64)), pa.array(np.concatenate(roles))], ["key", "fp", "probe"])
+                        rows.append(on)
+                        roles.append(np.ones(len(on), bool))
+                row = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(fp[row].view(np.int64)), *(pa.array(x[at : at + (1 << 13)][row]) for x in passed), pa.array(np.concatenate(roles))], ["key", "fp", "fine", "node", "probe"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
+    return fps.select("fp", "fine", "node").mapInArrow(run, "key long, fp long, fine long, node long, probe boolean")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,74 +240,89 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _spanning(edges: np.ndarray) -> np.ndarray:
-    """As many edges as span the components of the edges (2 x e); their ends need not be linked themselves."""
-    nodes, flat = np.unique(edges, return_inverse=True)
-    flat = flat.reshape(edges.shape)
-    label = forest(len(nodes), flat[0], flat[1])
-    away = np.flatnonzero(label != np.arange(len(nodes)))
-    return np.stack([nodes[away], nodes[label[away]]])
-
-
-def _nearest(edges: np.ndarray) -> np.ndarray:
-    """Of the edges, those of a minimum spanning forest by differing bits (a few more where several are as near)."""
-    nodes, flat = np.unique(edges, return_inverse=True)
-    flat = flat.reshape(edges.shape)
-    far = np.bitwise_count(edges[0] ^ edges[1])
-    label, chosen = np.arange(len(nodes)), []
-    for d in np.unique(far):
-        at = np.flatnonzero(far == d)
-        while True:
-            at = at[label[flat[0, at]] != label[flat[1, at]]]
-            if not len(at):
-                break
-            pick = np.unique(np.concatenate([at[np.unique(label[flat[side, at]], return_index=True)[1]] for side in (0, 1)]))
-            chosen.append(pick)
-            label = forest(len(nodes), np.append(flat[0, pick], np.arange(len(nodes))), np.append(flat[1, pick], label))
-    return edges[:, np.concatenate(chosen)] if chosen else edges[:, :0]
-
-
-def _bucket_links(own: np.ndarray, probing: np.ndarray, radius: int, reduce=_spanning, depth: int = 0) -> list[np.ndarray]:
-    """Edges (2 x e) that span the links among own, and between own and probing. Memory is linear in the members."""
-    if len(own) > _DENSE and depth < 3 and radius < 12:
-        # Linked pairs agree on one of radius + 1 groups of bits at least: compare within equal groups only.
-        found, width = [], 64 // (radius + 1)
-        for g in range(radius + 1):
-            bits = range(g * width + 7 * depth, g * width + 7 * depth + (width if g < radius else 64 - radius * width))
-            mask = np.uint64(sum(1 << (b % 64) for b in bits))
-            both = np.concatenate([own, probing])
-            key = both & mask
-            order = np.argsort(key, kind="stable")
-            runs = np.flatnonzero(np.diff(key[order])) + 1
-            for run in np.split(order, runs):
-                if len(run) > 1 and (inside := own[run[run < len(own)]]).size:
-                    found += _bucket_links(inside, both[run[run >= len(own)]], radius, reduce, depth + 1 if len(run) < 0.9 * len(both) else 3)
+class _Rows:
+    """Entries of some buckets; edges among them are 2 x e arrays of their places."""
+
+    def __init__(self, fp: np.ndarray, fine: np.ndarray, node: np.ndarray, radius: int, neighbours: int):
+        self.fp, self.fine, self.node, self.radius, self.neighbours = fp, fine, node, radius, neighbours
+
+    def reduce(self, edges: np.ndarray) -> np.ndarray:
+        """As many edges as the nodes, or a few times as many: what is kept of each bucket's links."""
+        return self._nearest(edges) if self.neighbours else self._spanning(edges)
+
+    def _spanning(self, edges: np.ndarray) -> np.ndarray:
+        """Edges that span the components of the edges; their ends need not be linked themselves."""
+        _, at, flat = np.unique(self.node[edges], return_index=True, return_inverse=True)
+        place, flat = edges.ravel()[at], flat.reshape(edges.shape)
+        label = forest(len(place), flat[0], flat[1])
+        away = np.flatnonzero(label != np.arange(len(place)))
+        return np.stack([place[away], place[label[away]]])
+
+    def _nearest(self, edges: np.ndarray) -> np.ndarray:
+        """Of the edges, those of a minimum spanning forest by differing bits (of fp and fine), and of each node those to its nearest ones."""
+        nodes, flat = np.unique(self.node[edges], return_inverse=True)
+        flat = flat.reshape(edges.shape)
+        far = np.bitwise_count(self.fp[edges[0]] ^ self.fp[edges[1]]) + np.bitwise_count(self.fine[edges[0]] ^ self.fine[edges[1]])
+        label = np.arange(len(nodes))
+        # Once for each end: the edge's place among the end's edges by distance, then by the other end.
+        end, other, which = np.concatenate([flat[0], flat[1]]), np.concatenate([flat[1], flat[0]]), np.tile(np.arange(edges.shape[1]), 2)
+        order = np.lexsort((other, np.tile(far, 2), end))
+        new = np.ones(len(order), bool)
+        new[1:] = (end[order][1:] != end[order][:-1]) | (other[order][1:] != other[order][:-1])  # the same pair from several buckets
+        order = order[new]
+        begins = np.flatnonzero(np.concatenate([[True], end[order][1:] != end[order][:-1]]))
+        nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+        chosen = [which[order[nth < self.neighbours]]]
+        for d in np.unique(far):
+            at = np.flatnonzero(far == d)
+            while True:
+                at = at[label[flat[0, at]] != label[flat[1, at]]]
+                if not len(at):
+                    break
+                pick = np.unique(np.concatenate([at[np.unique(label[flat[side, at]], return_index=True)[1]] for side in (0, 1)]))
+                chosen.append(pick)
+                label = forest(len(nodes), np.append(flat[0, pick], np.arange(len(nodes))), np.append(flat[1, pick], label))
+        return edges[:, np.unique(np.concatenate(chosen))]
+
+    def links(self, own: np.ndarray, probing: np.ndarray, depth: int = 0) -> list[np.ndarray]:
+        """Reduced links among own, and between own and probing (places). Memory is linear in the members."""
+        if len(own) > _DENSE and depth < 3 and self.radius < 12:
+            # Linked pairs agree on one of radius + 1 groups of bits at least: compare within equal groups only.
+            found, width = [], 64 // (self.radius + 1)
+            for g in range(self.radius + 1):
+                bits = range(g * width + 7 * depth, g * width + 7 * depth + (width if g < self.radius else 64 - self.radius * width))
+                both = np.concatenate([own, probing])
+                key = self.fp[both] & np.uint64(sum(1 << (b % 64) for b in bits))
+                order = np.argsort(key, kind="stable")
+                for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                    if len(run) > 1 and (inside := own[run[run < len(own)]]).size:
+                        found += self.links(inside, both[run[run >= len(own)]], depth + 1 if len(run) < 0.9 * len(both) else 3)
+            return found
+        found = []
+        for side, triangle in ((own, True), (probing, False)):
+            for at in range(0, len(side), 512):
+                near = np.bitwise_count(self.fp[side[at : at + 512], None] ^ self.fp[own][None, :]) <= self.radius
+                i, j = np.nonzero(near)
+                if triangle:
+                    keep = i + at < j
+                    i, j = i[keep], j[keep]
+                if len(i):
+                    found.append(self.reduce(np.stack([side[at + i], own[j]])))
         return found
-    found = []
-    for side, triangle in ((own, True), (probing, False)):
-        for at in range(0, len(side), 512):
-            near = np.bitwise_count(side[at : at + 512, None] ^ own[None, :]) <= radius
-            i, j = np.nonzero(near)
-            if triangle:
-                keep = i + at < j
-                i, j = i[keep], j[keep]
-            if len(i):
-                found.append(reduce(np.stack([side[at + i], own[j]])))
-    return found
 
 
-def _links(batches, radius: int, reduce=_spanning):
-    """Batches (key, fp, probe) sorted by key to edges (a, b) that span each bucket's links."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _links(batches, radius: int, neighbours: int):
+    """Batches of _entries sorted by key to edges (a, b: nodes), the reduced links of each bucket."""
+    held: list[list[np.ndarray]] = []
 
-    def settle(key, fp, probe):
-        edges = []
+    def settle(key, fp, fine, node, probe):
+        rows, edges = _Rows(fp.view(np.uint64), fine.view(np.uint64), node, radius, neighbours), []
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         bucket = np.repeat(np.arange(len(starts)), sizes)
         big = sizes > 64
         small = np.flatnonzero(~big[bucket])
-        k, f, p = bucket[small], fp[small], probe[small]
+        k, f, p = bucket[small], rows.fp[small], probe[small]
         for step in range(1, 64):  # neighbours step places apart in the same bucket
             if len(k) <= step:
                 break
@@ -313,39 +332,40 @@ def _links(batches, radius: int, reduce=_spanning):
             i = np.flatnonzero(same & ~(p[step:] & p[:-step]))
             i = i[np.bitwise_count(f[i] ^ f[i + step]) <= radius]
             if len(i):
-                edges.append(np.stack([f[i], f[i + step]]))
+                edges.append(small[np.stack([i, i + step])])
         for b in np.flatnonzero(big):
-            part = slice(starts[b], starts[b] + sizes[b])
-            edges += _bucket_links(fp[part][~probe[part]], fp[part][probe[part]], radius, reduce)
+            part = np.arange(starts[b], starts[b] + sizes[b])
+            edges += rows.links(part[~probe[part]], part[probe[part]])
         if edges:
-            out = reduce(np.concatenate(edges, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1].view(np.int64))], ["a", "b"])
+            out = node[rows.reduce(np.concatenate(edges, axis=1))]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False))
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         last = np.searchsorted(now[0], now[0][-1])
         if last:
-            held.append(tuple(x[:last] for x in now))
+            held.append([x[:last] for x in now])
             if sum(len(h[0]) for h in held) >= 50_000:
                 yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
-        held.append(tuple(x[last:] for x in now))
+        held.append([x[last:] for x in now])
     if held:
         yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def fingerprint_edges(fps: DataFrame, radius: int, reduce=_spanning) -> DataFrame:
-    """Distinct fingerprints (fp long) to edges (a, b) that span each bucket's links."""
+def fingerprint_edges(fps: DataFrame, radius: int, neighbours: int = 0) -> DataFrame:
+    """Rows (fp, fine, node: all long) to edges (a, b: nodes). Without neighbours they span each bucket's links; else see _Rows._nearest."""
     n, both = bit_moments(fps)
     entries = _entries(fps, allot(n, both, radius)).repartition("key").sortWithinPartitions("key")
-    return entries.mapInArrow(lambda it: _links(it, radius, reduce), "a long, b long")
+    return entries.mapInArrow(lambda it: _links(it, radius, neighbours), "a long, b long")
 
 
 def linked_fingerprints(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """Distinct fingerprints (fp long) to (a, b: the component's least), with the components of all pairs at radius or fewer differing bits."""
-    return component_roots(fingerprint_edges(fps, radius), scratch)
+    nodes = fps.select("fp", F.lit(0).cast("long").alias("fine"), F.col("fp").alias("node"))
+    return component_roots(fingerprint_edges(nodes, radius), scratch)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
@@ -387,8 +407,19 @@ def _unique(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], row[new]
 
 
+def _majority(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the bits that are set in over half of its hashes, as a signed number. Hashes stand by row."""
+    votes, count = np.zeros((n, 64), np.int64), np.bincount(row, minlength=n)
+    for at in range(0, len(h), _BLOCK):  # blocks, so that bits take bounded memory
+        r = row[at : at + _BLOCK]
+        bits = np.unpackbits(h[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        begins = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        np.add.at(votes, r[begins], np.add.reduceat(bits, begins, axis=0, dtype=np.int64))
+    return np.packbits(votes * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64).view(np.int64)
+
+
 def _features(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n: distinct shingles, s1 and s2: digest of the shingle set, fp: SimHash of the distinct words)."""
+    """(doc_id, n: distinct shingles, s1 and s2: digest of the shingle set, fp and fine: SimHashes of the distinct words and of the shingle set)."""
 
     def run(batches):
         for batch in batches:
@@ -400,21 +431,12 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
                 s1, s2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
                 np.add.at(s1, r, mix(g))
                 np.bitwise_xor.at(s2, r, mix(g + np.uint64(0x632BE59BD9B4E019)))
-                w, r = _unique(each, row)
-                votes, count = np.zeros((b - a, 64), np.int64), np.bincount(r, minlength=b - a)
-                at = 0
-                while at < len(w):  # blocks, so that bits take bounded memory
-                    to = min(len(w), at + _BLOCK)
-                    bits = np.unpackbits(w[at:to].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    begins = np.flatnonzero(np.concatenate([[True], r[at + 1 : to] != r[at : to - 1]]))
-                    np.add.at(votes, r[at + begins], np.add.reduceat(bits, begins, axis=0, dtype=np.int64))
-                    at = to
-                fp = np.packbits(votes * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
-                out.append((size, s1.view(np.int64), s2.view(np.int64), fp.astype(np.uint64).view(np.int64)))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", "n", "s1", "s2", "fp"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, fp long")
+                fp, fine = _majority(*_unique(each, row), b - a), _majority(g, r, b - a)
+                out.append((size, s1.view(np.int64), s2.view(np.int64), fp, fine))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", "n", "s1", "s2", "fp", "fine"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, fp long, fine long")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -441,20 +463,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "groups")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     each = scratch.save(_features(texts, k), "features")
-    reps = scratch.save(each.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n")), "reps")
+    reps = scratch.save(each.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("fine").alias("fine"), F.min("n").alias("n")), "reps")
     # Sets of fewer members are as similar as that only if they are equal.
     able = reps.where(F.col("n") >= int(similarity / (1 - similarity) + 1e-9))
-    classes = scratch.save(able.groupBy("fp").agg(F.min("rep").alias("first")), "classes")
-    first = classes.select(F.col("fp").alias("a"), F.col("first").alias("x")), classes.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    across = fingerprint_edges(classes, radius, _nearest).distinct().join(first[0], "a").join(first[1], "b").select("x", "y")
-    same = able.join(classes, "fp").where("rep <> first").select(F.col("rep").alias("x"), F.col("first").alias("y"))
-    edges = scratch.save(across.union(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges0x")
+    edges = fingerprint_edges(able, radius, NEIGHBOURS).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    edges = scratch.save(edges, "candidates")
     ends = edges.select(F.col("x").alias("doc_id")).union(edges.select("y")).distinct()
     sets = scratch.save(_sets(texts.join(_few(ends), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
     shared = F.size(F.array_intersect("sx", "sy"))
     good = edges.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
     roots = component_roots(good.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    rooted = reps.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("keep_id"))
+    rooted = reps.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("keep_id"))
     return each.join(rooted, ["s1", "s2"]).select("doc_id", "keep_id")
 
 

@@ -69,12 +69,23 @@ def test_large_bucket_is_split_without_loss():
     centre = np.uint64(0x0123456789ABCDEF)
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(6000)], np.uint64)
     members = np.unique(centre ^ flips)
-    found = np.concatenate(simhash._bucket_links(members, members[:0], 4), axis=1)
-    nodes, flat = np.unique(np.concatenate([members, found.ravel()]), return_inverse=True)
-    flat = flat[len(members) :].reshape(2, -1)
-    got = simhash.forest(len(nodes), flat[0], flat[1])
-    i, j = np.nonzero(np.bitwise_count(nodes[:, None] ^ nodes[None, :]) <= 4)
-    assert (got == simhash.forest(len(nodes), i, j)).all()
+    rows = simhash._Rows(members, np.zeros_like(members), np.arange(len(members)), 4, 0)
+    found = np.concatenate(rows.links(np.arange(len(members)), np.arange(0)), axis=1)
+    got = simhash.forest(len(members), found[0], found[1])
+    i, j = np.nonzero(np.bitwise_count(members[:, None] ^ members[None, :]) <= 4)
+    assert (got == simhash.forest(len(members), i, j)).all()
+
+
+def test_nearest_edges_hold_a_minimum_spanning_forest():
+    rng = np.random.default_rng(4)
+    fp = rng.integers(0, 1 << 10, 120).astype(np.uint64)
+    rows = simhash._Rows(fp, np.zeros_like(fp), np.arange(120), 4, 2)
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4, 1))
+    kept = rows.reduce(np.stack([i, j]))
+    assert kept.shape[1] <= 4 * 120
+    for d in range(5):  # the same components at every distance
+        label = [simhash.forest(120, *e[:, np.bitwise_count(fp[e[0]] ^ fp[e[1]]) <= d]) for e in (np.stack([i, j]), kept)]
+        assert (label[0] == label[1]).all()
 
 
 def test_edge_cases(spark):
