@@ -205,7 +205,7 @@ def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray, step
 
 def learn(x: np.ndarray, y: np.ndarray) -> Model:
     """Trees to rules to a sparse model; the penalty is the one of least loss on every fifth row."""
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():  # nothing to tell apart
         rate = float(y.mean()) if len(y) else 1.0
         return Model(float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), ())
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
@@ -218,6 +218,8 @@ def learn(x: np.ndarray, y: np.ndarray) -> Model:
         rules.update(dict.fromkeys(tuple(sorted(set(path))) for path in paths))
         f += 0.3 * step
     all_ = [Rule(terms) for terms in rules]
+    if not all_:  # too few rows for any split
+        return Model(float(np.log(y.mean() / (1 - y.mean()))), ())
     r = np.stack([rule.holds(x) for rule in all_], axis=1).astype(np.float32)
     test = np.arange(len(y)) % 5 == 4
     loss = lambda w: float(np.mean(np.logaddexp(0, -(2 * y[test] - 1) * (r[test] @ w[:-1] + w[-1]))))

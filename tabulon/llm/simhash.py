@@ -465,7 +465,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = scratch.save(_features(texts, k), "features")
     reps = scratch.save(each.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("fine").alias("fine"), F.min("n").alias("n")), "reps")
     # Sets of fewer members are as similar as that only if they are equal.
-    able = reps.where(F.col("n") >= int(similarity / (1 - similarity) + 1e-9))
+    able = reps.where(F.col("node").isNotNull() & (F.col("n") >= int(similarity / (1 - similarity) + 1e-9)))
     edges = fingerprint_edges(able, radius, NEIGHBOURS).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     edges = scratch.save(edges, "candidates")
     ends = edges.select(F.col("x").alias("doc_id")).union(edges.select("y")).distinct()
