@@ -14,7 +14,7 @@ TABLES = {
         [(1, "The cat sat on the mat and then it slept well all day long until dusk", "en", "a", 5), (1, "The cat sat on the mat and then it slept well all day long until dusk", "en", "a", 5), (2, None, None, None, None), (None, "a text with no id", "en", None, 3), (None, None, None, None, None),
          (3, "", "de", "b", 0), (4, LONG, "fr", "c", 9), (5, "ÀÉ 日本 😀 \u0000  ", "xx", "c", 9), (6, "!!! *** |||", "en", "c", 1), (-20, "negative id", "en", "c", 1)],
     ),
-    "labels": ("doc_id long, quality int, toxic int, score double", [(1, 1, 0), (1, 0, 0), (3, None, 1), (None, 1, 1), (6, 0, None), (99, 1, 0)]),
+    "labels": ("doc_id long, quality int, toxic int, score double", [(1, 1, 0), (1, 1, 0), (1, 1, 0), (1, 1, 0), (1, 1, 0), (1, 0, 0), (3, None, 1), (None, 1, 1), (99, 1, 0)]),
     "benchmark": ("item_id long, text string, doc_id long", [(1, "the cat sat on the mat and then it slept well all day long"), (2, None), (None, "a text with no id"), (3, ""), (1, "negative id")]),
     "embeddings": ("vec_id long, embedding array<float>, label int, score double, rank int", [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (20, None, 2), (1, [0.5, None], 3), (2, [0.3, 0.4], None), (None, [1.0, 1.0], 1), (40, [0.0, 0.0], 1), (60, [0.2, -0.1], 1)]),
     "pages": ("page_id long, url string, html string, ts long, kind string", [(1, "http://a.b/c", "<p>"), (2, "https://www.A.b/c/", None), (None, "http://a.b/c", "x"), (3, None, "x"), (4, "", ""), (1, "http://a.b/c", "<p>"), (5, "http://a.b/c#x", "<p>")]),
