@@ -155,6 +155,12 @@ def test_definitions_and_checks(engine, spark, tmp_path):
     assert e("commit").first()[0] == 0
 
 
+def test_insert_of_many_rows(engine):
+    values = ", ".join(f"({i}, 'n{i}', {i % 90}, NULL, true, '2020-01-02', '2020-01-02 03:04:05.5')" for i in range(100, 1100))
+    engine.execute(f"insert into t values {values}")
+    assert rows(engine, "select count(*), sum(score), max(t_datetime) from t where id >= 100") == [(1000, 1000, datetime(2020, 1, 2, 3, 4, 5, 500000))]
+
+
 def test_transactions(engine):
     e = engine.execute
     e("begin")
