@@ -34,9 +34,9 @@ from ._text import utf8
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
-CACHE_PARTS = 150_000
+#: Words and word parts whose ids a worker remembers: this many new ones, and as many before them.
+CACHE_WORDS = 150_000
+CACHE_PARTS = 200_000
 #: Words of ASCII and Latin-1 letters: no apostrophe, no `<`, no combining characters, so they are cut only between letters, single digits and other characters.
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -59,36 +59,50 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _part(self, part: str) -> bytes:
+        """Ids of lower-case letters, of one digit or of other characters, as the tokenizer's pattern leaves them."""
+        if (ids := self.parts.get(part)) is None:
+            written = part if part.isascii() else part.encode().decode("latin-1").translate(_AS_CHARS)
+            ids = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(written)])
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
     def _word(self, word: bytes) -> bytes:
+        low = word.lower()
+        if low.isalpha():  # ASCII letters only
+            return self._part(low.decode())
+        if low[-1:] in (b".", b",") and low[:-1].isalpha():
+            return self._part(low[:-1].decode()) + self._part(low[-1:].decode())
         text = word.decode()
         if _PLAIN.fullmatch(text):
-            out = b""
-            for part in _PARTS.findall(text.lower()):
-                if (ids := self.parts.get(part)) is None:
-                    written = part if part.isascii() else part.encode().decode("latin-1").translate(_AS_CHARS)
-                    found = [t.id for t in self.tokenizer.model.tokenize(written)]
-                    ids = struct.pack(f"<{len(found)}I", *found)
-                    if len(self.parts) >= CACHE_PARTS:
-                        self.parts.clear()
-                    self.parts[part] = ids
-                out += ids
-            return out
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join(map(self._part, _PARTS.findall(text.lower())))
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def _missing(self, word: bytes) -> bytes:
+        """Ids of a word that is not among the newer ones."""
+        if (ids := self.words.get(word)) is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._word(word)
+            if len(word) <= 64:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words, self.older = {}, self.words
+                self.words[word] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
-        words, out = self.words, []
-        for word in text.split():
-            if (ids := words.get(word)) is None:
-                ids = self._word(word)
-                if len(word) <= 64:
-                    if len(words) >= CACHE_WORDS:
-                        words.clear()
-                    words[word] = ids
-            out.append(ids)
+        words = text.split()
+        out = list(map(self.words.get, words))
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = self._missing(words[i])
         return b"".join(out)
 
 
