@@ -15,7 +15,12 @@ columns and other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections.abc import Iterator
+from datetime import UTC, datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Time buckets that a URL's records are dealt over at most.
@@ -97,6 +102,93 @@ def records_of_pages(pages: DataFrame, lag: int = 1000) -> DataFrame:
     return response.union(revisit)
 
 
+RECORD = "uri string, url string, ts double, kind string, status int, etag string, last_modified string, digest string, headers map<string,string>, payload binary"
+#: Bytes that are decompressed at once.
+_PIECE = 1 << 20
+
+
+def _plain(data: bytes) -> Iterator[bytes]:
+    """Pieces of a file's bytes; gzip files hold one member for each record."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data) or member.unconsumed_tail:
+        given = member.unconsumed_tail or data[at : at + _PIECE]
+        at += 0 if member.unconsumed_tail else len(given)
+        if out := member.decompress(given, _PIECE):
+            yield out
+        if member.eof:
+            at -= len(member.unused_data)
+            member = zlib.decompressobj(31)
+
+
+def _head(block: bytes) -> tuple[str, dict[str, str]]:
+    """First line and fields; of a repeated field the last value."""
+    first, *lines = block.decode("utf-8", "replace").split("\r\n")
+    return first, {k.strip(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+
+
+def parse(data: bytes) -> Iterator[tuple]:
+    """Response and revisit records of a WARC file as rows of RECORD. A file that ends inside a record ends with the one before."""
+    held, pieces, more = b"", _plain(data), True
+
+    def fill(n: int) -> bool:
+        nonlocal held, more
+        got, size = [held], len(held)
+        while size < n and more:
+            piece = next(pieces, None)
+            more = piece is not None
+            got.append(piece or b"")
+            size += len(got[-1])
+        held = b"".join(got)
+        return size >= n
+
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not fill(len(held) + 1):
+                return
+        _, fields = _head(held[:end].lstrip(b"\r\n"))
+        warc = {k.lower(): v for k, v in fields.items()}
+        size = int(warc.get("content-length") or 0)
+        if not fill(end + 4 + size):
+            return
+        block, held = held[end + 4 : end + 4 + size], held[end + 4 + size :].lstrip(b"\r\n")
+        kind = warc.get("warc-type")
+        if kind not in ("response", "revisit"):
+            continue
+        http, _, payload = block.partition(b"\r\n\r\n")
+        line, headers = _head(http)
+        low = {k.lower(): v for k, v in headers.items()}
+        status = int(line.split(" ")[1]) if line.startswith("HTTP/") and line.split(" ")[1:2] and line.split(" ")[1].isdigit() else None
+        try:
+            ts = datetime.fromisoformat(warc["warc-date"]).astimezone(UTC).timestamp()
+        except (KeyError, ValueError):
+            ts = None
+        yield (warc.get("warc-record-id"), warc.get("warc-target-uri"), ts, kind, status, low.get("etag"), low.get("last-modified"), warc.get("warc-payload-digest"), list(headers.items()), payload if kind == "response" else None)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files (plain or gzip) as resolve() takes them, with uri, status and payload besides. A file is one task's work; record_id is a hash of the record's URI."""
+
+    def run(batches):
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f"c{i}" for i in range(len(kinds))])
+        for batch in batches:
+            for content in batch.column(0):
+                rows = []
+                for row in parse(content.as_py()):
+                    rows.append(row)
+                    if len(rows) == 256:
+                        yield flush(rows)
+                        rows = []
+                if rows:
+                    yield flush(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, RECORD).withColumn("record_id", F.xxhash64("uri"))
+
+
 def headers_text(headers: Column) -> Column:
     """`name: value` lines by name."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")

@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import pytest
@@ -56,3 +57,28 @@ def test_as_of_join_matches_brute_force(spark):
 
 def test_empty(spark):
     assert warc.resolve(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def record(kind, uri, url, date, http, payload=b"", extra=""):
+    block = http.replace("\n", "\r\n").encode() + b"\r\n\r\n" + payload
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {uri}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n{extra}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_files_are_read_and_resolved(spark, tmp_path):
+    big = b"x\r\n\r\n" * 500_000
+    parts = [
+        record("warcinfo", "<i>", "", "2024-01-01T00:00:00Z", "software: x"),
+        record("response", "<a>", "http://a.b/c", "2024-01-01T00:00:00Z", 'HTTP/1.1 200 OK\nETag: "1"\nContent-Type: text/html', big),
+        record("revisit", "<b>", "https://www.a.b/c/#x", "2024-01-02T00:00:00Z", 'HTTP/1.1 304 Not Modified\nETag: "1"\nDate: d\nX-Cache: HIT'),
+        record("response", "<c>", "http://a.b/c", "2024-01-03T00:00:00Z", "HTTP/1.1 200 OK", b"", "WARC-Payload-Digest: sha1:Z\r\n"),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "two.warc").write_bytes(b"".join(parts[:1]) + parts[1][:-900])  # ends inside a record
+    rows = warc.read_records(spark, str(tmp_path))
+    got = {r.uri: r for r in rows.collect()}
+    assert got.keys() == {"<a>", "<b>", "<c>"} and bytes(got["<a>"].payload) == big and got["<b>"].payload is None
+    assert (got["<b>"].status, got["<c>"].digest, got["<a>"].ts) == (304, "sha1:Z", 1704067200.0)
+    out = warc.resolve(rows).collect()
+    assert [(r.resolution, r.refers_to) for r in out] == [("resolved", got["<a>"].record_id)]
+    assert out[0].headers == {"etag": '"1"', "date": "d", "content-type": "text/html"}
