@@ -15,7 +15,7 @@ set leaves every document clean; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -125,6 +125,17 @@ class TestSet:
         return spans, names
 
 
+_WORKER: dict[str, TestSet] = {}
+
+
+def _test_set(key: str, shared, window: int) -> TestSet:
+    """A broadcast block's fingerprints, made once in each Python worker."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = TestSet(shared.value, window)
+    return _WORKER[key]
+
+
 def merged(spans: list[tuple[int, int]]) -> int:
     """Words in the union of the spans."""
     total, end = 0, 0
@@ -151,8 +162,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         shared = sc.broadcast([(r.item, bytes(r.text)) for r in own.collect() if r.item is not None])  # about block_bytes
 
+        key = uuid.uuid4().hex
+
         def run(batches):
-            test = TestSet(shared.value, window)
+            test = _test_set(key, shared, window)
             for batch in batches:
                 out = []
                 for _, _, raw, offs in slices(batch, 1):
@@ -196,10 +209,10 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
         found = contamination(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, share, block_bytes)
         return docs.join(found.where("contaminated").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect() if r.item is not None])  # at most block_bytes
-    at = docs.columns.index(text_col)
+    at, key = docs.columns.index(text_col), uuid.uuid4().hex
 
     def run(batches):
-        test = TestSet(shared.value, window)
+        test = _test_set(key, shared, window)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for a, _, raw, offs in slices(batch, at):
