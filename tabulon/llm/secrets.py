@@ -28,15 +28,17 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % WINDOW
 #: Least entropy in bits of a window, by character class.
 HEX_BITS, BASE64_BITS = 3.0, 3.9
-#: Candidates that are no secrets: no digit or no letter, UUIDs, dotted or slashed paths of plain words, runs of the alphabet or of digits, and marked examples.
+#: Candidates that are no secrets: no digit or no letter, UUIDs, runs of the alphabet or of digits, and marked examples.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^(?:[A-Za-z]+|[0-9]+)(?:[/_-](?:[A-Za-z]+|[0-9]+))*$",
     r"(?i)0123456789|abcdefghij|example|placeholder|xxxxx",
 )
 
+#: A candidate in which no letter touches a digit, and without a plus sign, is a path or slug of words and numbers, and allowed.
+TOUCHING = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[+]"
+
 _SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -85,7 +87,7 @@ def window_bits(text: Column, window: int) -> Column:
 
 def _random(value: Column) -> Column:
     """Whether a candidate's entropy reaches the threshold of its character class and no allow-list pattern holds."""
-    allowed = F.lit(False)
+    allowed = ~value.rlike(TOUCHING)
     for p in ALLOW:
         allowed = allowed | value.rlike(p)
     least = F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
@@ -161,7 +163,7 @@ m AS (
   UNION ALL SELECT rid, 3, string_split_regex(text, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0),
     list_transform(regexp_extract_all(text, '[A-Za-z0-9+/_-]{20,}', 0), lambda v: regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
       AND NOT regexp_matches(v, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')
-      AND NOT regexp_matches(v, '^(?:[A-Za-z]+|[0-9]+)(?:[/_-](?:[A-Za-z]+|[0-9]+))*$')
+      AND regexp_matches(v, '[A-Za-z][0-9]|[0-9][A-Za-z]|[+]')
       AND NOT regexp_matches(v, '(?i)0123456789|abcdefghij|example|placeholder|xxxxx')
       AND list_max(list_transform(range(1, length(v) - 18), lambda j: round(list_entropy(string_split(substr(v, j, 20), '')), 9)))
         >= CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN 3.0 ELSE 3.9 END) FROM t

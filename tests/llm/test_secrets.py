@@ -58,10 +58,15 @@ def test_method_adds_random_strings_and_allows_known_ones(spark):
         (5, "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA1"),
         (6, "token = x8Kq2ZpL7vTn4RwYb6Jd1Mf9Hs3Gc5Ae"),
         (7, "a" * 300_000),
+        (8, "a/1/" * 60_000),
+        (9, "Zx9" * 30_000),
+        (10, "secret=" * 30_000 + "x"),
+        (11, "0123456789abcdef" * 20_000),
     ]
     got = {r.doc_id: (r.n_entropy, r.spans) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (1, "entropy:4:40")
     assert [got[i][0] for i in (2, 3, 4, 5, 6)] == [0] * 5
+    assert got[8][0] == got[9][0] == 0 and got[11][1] == "hex:0:320000"
     assert got[6][1].startswith("assign:0:40")
 
 
