@@ -6,9 +6,13 @@ allots the thresholds (-1 leaves a part out) by estimated rows sent and candidat
 its own value of each part and to the values within the threshold (from one side of a pair only); each bucket is verified exactly
 and gives a spanning forest of its links instead of all its pairs, so a group of g near copies gives at most g edges a bucket.
 
-`similar_groups` serves pipelines: near copies by Jaccard similarity of word shingles. Candidates are links of SimHash fingerprints of
+`similar_groups` serves pipelines: near copies by Jaccard similarity of word shingles, exact. First, links of SimHash fingerprints of
 each text's distinct words, reduced in every bucket to each one's nearest neighbours and a minimum spanning forest by differing bits
-(linear in the texts, where all pairs of a group are not), and every edge is verified on the whole shingle sets.
+(linear in the texts), are verified on the whole shingle sets; they join most of each group. Then a prefix filter meets every pair that
+may still join two groups: with the shingles of all texts in one order, two sets at the similarity share one of the first
+n - ceil(similarity * n) + 1 of each. The order (shingles that a sample shows to be frequent stand last) is only for speed. Of what
+meets, only pairs of different groups that pass exact bounds (sizes, places in the order, parities of the sets in 512 bits) are
+verified, all of them. Buckets of more than _SMALL texts wait until smaller ones have joined what they can.
 
 Defined results: null or empty text has fingerprint zero, which links like any other; repeated rows share a fingerprint; an empty
 table gives an empty result; other columns of the input are ignored whatever their names.
@@ -36,6 +40,12 @@ BROADCAST_IDS = 2_000_000
 NEIGHBOURS = 6
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 15
+#: Members of a prefix bucket up to which its pairs are formed before larger ones' are.
+_SMALL = 64
+#: Words of 64 bits of a set's parities.
+_PARITY = 8
+#: One of so many documents is sampled for frequent shingles; counts in the sample from which they are; how many are broadcast.
+_SAMPLED, _OFTEN, _FREQUENT = 32, 4, 1_000_000
 #: Members of a bucket up to which all its pairs are compared at once; larger ones are first split by further bits.
 _DENSE = 4096
 
@@ -418,25 +428,150 @@ def _majority(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(votes * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64).view(np.int64)
 
 
-def _features(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n: distinct shingles, s1 and s2: digest of the shingle set, fp and fine: SimHashes of the distinct words and of the shingle set)."""
+def _frequent(texts: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a sample hold: at most _FREQUENT."""
 
     def run(batches):
         for batch in batches:
-            out = []
+            for a, b, data, offs in slices(batch, 0):
+                g, _ = _unique(*_shingles(data, offs, k)[2:])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SAMPLED)) == 0).select("text").mapInArrow(run, "g long")
+    found = some.groupBy("g").count().where(F.col("count") >= _OFTEN).orderBy(F.desc("count"), "g").limit(_FREQUENT).select("g").toPandas()
+    return np.sort(found["g"].to_numpy(np.int64).view(np.uint64))
+
+
+def _prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of the first of n ordered members must be met: a set as similar shares at least similarity * n of them."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def _features(docs: DataFrame, k: int, similarity: float, least: int, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, n: distinct shingles, s1 and s2: digest of the shingle set, fp and fine: SimHashes of the distinct words and of the shingle set,
+    prefix: the first shingles of sets of `least` or more in the common order, parity: of how many shingles fall on each of 64 * _PARITY bits)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def ordered(g: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """g, sorted by row and hash, with each row's frequent ones last."""
+        often = shared.value
+        if not len(often) or not len(g):
+            return g
+        at = np.searchsorted(often, g)
+        at[at == len(often)] = 0
+        late = often[at] == g
+        begin, before = np.searchsorted(row, np.arange(n + 1)), np.concatenate([[0], np.cumsum(late)])
+        late_before = before[:-1] - before[begin[row]]
+        rare = (begin[1:] - begin[:-1]) - (before[begin[1:]] - before[begin[:-1]])
+        out = np.empty_like(g)
+        out[np.where(late, begin[row] + rare[row] + late_before, np.arange(len(g)) - late_before)] = g
+        return out
+
+    def run(batches):
+        for batch in batches:
+            out, prefixes, parities = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b, data, offs in slices(batch, 1):
                 each, row, grams, gram_row = _shingles(data, offs, k)
                 g, r = _unique(grams, gram_row)
                 size = np.bincount(r, minlength=b - a)
                 s1, s2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
                 np.add.at(s1, r, mix(g))
-                np.bitwise_xor.at(s2, r, mix(g + np.uint64(0x632BE59BD9B4E019)))
+                other = mix(g + np.uint64(0x632BE59BD9B4E019))
+                np.bitwise_xor.at(s2, r, other)
                 fp, fine = _majority(*_unique(each, row), b - a), _majority(g, r, b - a)
-                out.append((size, s1.view(np.int64), s2.view(np.int64), fp, fine))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns)], ["doc_id", "n", "s1", "s2", "fp", "fine"])
+                for x in range(0, b - a, 4096):
+                    own = slice(*np.searchsorted(r, [x, min(x + 4096, b - a)]))
+                    rows = min(4096, b - a - x)
+                    bit = (r[own] - x) * (64 * _PARITY) + (other[own] % np.uint64(64 * _PARITY)).astype(np.int64)
+                    odd = np.bincount(bit, minlength=rows * 64 * _PARITY).astype(np.uint8) & 1
+                    parities.append(np.packbits(odd, bitorder="little").view("<i8"))
+                first = np.cumsum(size) - size
+                take = np.where(size >= least, _prefix_size(size, similarity), 0)
+                prefixes.append(ordered(g, r, b - a)[np.arange(len(g)) - first[r] < take[r]].view(np.int64))
+                out.append((size, s1.view(np.int64), s2.view(np.int64), fp, fine, take))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+            ends = pa.array(np.concatenate([[0], np.cumsum(columns.pop())]).astype(np.int32))
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(0, _PARITY * batch.num_rows + 1, _PARITY, dtype=np.int32)), pa.array(np.concatenate(parities)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes))), parity], ["doc_id", "n", "s1", "s2", "fp", "fine", "prefix", "parity"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, fp long, fine long, prefix array<long>, parity array<long>")
+
+
+def _buckets(batches):
+    """Batches sorted by their first column to lists of columns that hold whole buckets."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, _PARITY) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        last = np.searchsorted(now[0], now[0][-1])
+        if last:
+            held.append([x[:last] for x in now])
+            if sum(len(h[0]) for h in held) >= 100_000:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+        held.append([x[last:] for x in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, fp long, fine long")
+def _may(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets can be as similar that share a member, by sizes and places in the order (size << 32 | place)."""
+    n, m, i, j = x >> 32, y >> 32, x & 0xFFFFFFFF, y & 0xFFFFFFFF
+    shared = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1
+    return shared * (1 + similarity) >= similarity * (n + m) - 1e-6
+
+
+def _met(batches, similarity: float):
+    """(key, node, root, at) sorted by key to pairs (a, b) of different roots from buckets of up to _SMALL, and the rows of larger ones (key, a: node, at)."""
+    for key, node, root, at in _buckets(batches):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        bucket = np.repeat(np.arange(len(starts)), sizes)
+        several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        big = np.flatnonzero((several & (sizes > _SMALL))[bucket])
+        small = np.flatnonzero((several & (sizes <= _SMALL))[bucket])
+        found, own = [], bucket[small]
+        for step in range(1, _SMALL):
+            same = own[step:] == own[:-step]
+            if not same.any():
+                break
+            i = np.flatnonzero(same)
+            x, y = small[i], small[i + step]
+            fit = (root[x] != root[y]) & _may(at[x], at[y], similarity)
+            found.append(np.stack([np.minimum(node[x], node[y])[fit], np.maximum(node[x], node[y])[fit]]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        if pairs.shape[1]:
+            yield pa.RecordBatch.from_arrays([none(pairs.shape[1]), pa.array(pairs[0]), pa.array(pairs[1]), none(pairs.shape[1])], ["key", "a", "b", "at"])
+        if len(big):
+            yield pa.RecordBatch.from_arrays([pa.array(key[big]), pa.array(node[big]), none(len(big)), pa.array(at[big])], ["key", "a", "b", "at"])
+
+
+def _met_large(batches, similarity: float):
+    """(key, node, root, at, parity) sorted by key to pairs (a, b) of different roots that may be as similar. Members of a bucket's largest group are compared with the others only."""
+    for key, node, root, at, parity in _buckets(batches):
+        starts, parity = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), parity.view(np.uint64)
+        for lo, hi in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            _, group, count = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+            if len(count) < 2:
+                continue
+            order = lo + np.argsort(group == count.argmax(), kind="stable")
+            others = len(order) - count.max()
+            step = max(1, (1 << 20) // len(order))
+            for begin in range(0, others, step):
+                rows = order[begin : min(begin + step, others)]
+                rest = order[begin + 1 :]
+                fit = (root[rows][:, None] != root[rest]) & (np.arange(len(rows))[:, None] <= np.arange(len(rest))) & _may(at[rows][:, None], at[rest], similarity)
+                i, j = np.nonzero(fit)
+                x, y = rows[i], rest[j]
+                apart = np.zeros(len(x), np.int64)
+                for w in range(_PARITY):
+                    apart += np.bitwise_count(parity[x, w] ^ parity[y, w])
+                fit = apart * (1 + similarity) <= (1 - similarity) * ((at[x] >> 32) + (at[y] >> 32)) + 1e-6
+                if fit.any():
+                    x, y = node[x[fit]], node[y[fit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -462,17 +597,52 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "groups")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    each = scratch.save(_features(texts, k), "features")
-    reps = scratch.save(each.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("fine").alias("fine"), F.min("n").alias("n")), "reps")
     # Sets of fewer members are as similar as that only if they are equal.
-    able = reps.where(F.col("node").isNotNull() & (F.col("n") >= int(similarity / (1 - similarity) + 1e-9)))
-    edges = fingerprint_edges(able, radius, NEIGHBOURS).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    edges = scratch.save(edges, "candidates")
-    ends = edges.select(F.col("x").alias("doc_id")).union(edges.select("y")).distinct()
-    sets = scratch.save(_sets(texts.join(_few(ends), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    good = edges.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
-    roots = component_roots(good.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    least = int(similarity / (1 - similarity) + 1e-9)
+    each = scratch.save(_features(texts, k, similarity, least, _frequent(texts, k)), "features")
+    reps = scratch.save(each.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("fine").alias("fine"), F.min("n").alias("n")), "reps")
+    able = reps.where(F.col("node").isNotNull() & (F.col("n") >= least))
+
+    def verified(edges: DataFrame, name: str) -> DataFrame:
+        """Of saved edges (x, y), those at the similarity."""
+        ends = edges.select(F.col("x").alias("doc_id")).union(edges.select("y")).distinct()
+        sets = scratch.save(_sets(texts.join(_few(ends), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), f"sets_{name}")
+        shared = F.size(F.array_intersect("sx", "sy"))
+        good = edges.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
+        good = scratch.save(good.select(F.col("x").alias("a"), F.col("y").alias("b")), f"good_{name}")
+        scratch.drop(f"sets_{name}")
+        return good
+
+    def grouped(good: DataFrame, name: str) -> DataFrame:
+        return component_roots(good, Scratch(docs.sparkSession, f"roots_{name}"))
+
+    def rooted_as(frame: DataFrame, roots: DataFrame) -> DataFrame:
+        return frame.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    edges = scratch.save(fingerprint_edges(able, radius, NEIGHBOURS).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "candidates")
+    good = verified(edges, "links")
+    roots = grouped(good, "links")
+    # What shares a shingle of both prefixes, in different groups.
+    prefixes = rooted_as(able.select("node", "s1", "s2"), roots).withColumnRenamed("node", "doc_id").join(each.select("doc_id", "s1", "s2", "n", "prefix"), ["doc_id", "s1", "s2"])
+    rows = prefixes.select(F.col("doc_id").alias("node"), "root", "n", F.posexplode("prefix").alias("place", "key")).select("key", "node", "root", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
+    met = scratch.save(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, similarity), "key long, a long, b long, at long"), "met")
+    # A node's parities; rows of one doc_id are one document.
+    parities = each.select("doc_id", "n", "parity").dropDuplicates(["doc_id"])
+    pairs = met.where("b is not null").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    both = pairs.join(parities.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px")), "x").join(parities.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py")), "y")
+    apart = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("py")[i])) for i in range(_PARITY)), F.lit(0))
+    pairs = scratch.save(both.where(apart * (1 + similarity) <= (1 - similarity) * (F.col("nx") + F.col("ny")) + 1e-6).select("x", "y"), "pairs")
+    if pairs.limit(1).count():
+        good = good.union(verified(pairs, "pairs"))
+        roots = grouped(good, "pairs")
+    large = met.where("b is null").select("key", F.col("a").alias("node"), "at")
+    if large.limit(1).count():
+        rows = rooted_as(large, roots).join(parities.select(F.col("doc_id").alias("node"), "parity"), "node").select("key", "node", "root", "at", "parity")
+        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met_large(it, similarity), "x long, y long").distinct()
+        found = scratch.save(found, "large")
+        if found.limit(1).count():
+            good = good.union(verified(found, "large"))
+            roots = grouped(good, "large")
     rooted = reps.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("keep_id"))
     return each.join(rooted, ["s1", "s2"]).select("doc_id", "keep_id")
 

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -105,3 +106,28 @@ def test_near_copies_at_the_edges(spark):
     assert got == [(1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 3), (6, 3), (7, 7), (8, 7), (9, 9)]
     assert sorted(r.doc_id for r in simhash.without_near_copies(df).collect()) == [1, 3, 4, 7, 9]
     assert simhash.without_near_copies(df.limit(0)).collect() == []
+
+
+def test_near_copies_of_one_hub_are_one_group(spark):
+    """Copies of one original that are no near copies of each other: each must be tried against the original, whatever is nearer by bits."""
+    rng = random.Random(3)
+    new = lambda n: ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    rows = []
+    for hub in range(3):
+        words = new(200)
+        rows.append((1000 * hub, " ".join(words)))
+        for i in range(1, 301):
+            copy = list(words)
+            for at in rng.sample(range(5, 195), 4):
+                copy[at] = new(1)[0]
+            rows.append((1000 * hub + i, " ".join(copy)))
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(rows)
+
+
+def test_frequent_shingles_last_give_the_same_groups(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 3000")
+    monkeypatch.setattr(simhash, "_SAMPLED", 1)
+    assert len(simhash._frequent(docs.selectExpr("doc_id", "cast(text as binary) text"), 5))
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(docs).collect()}
+    assert got == groups([(r.doc_id, r.text) for r in docs.collect()])
