@@ -125,6 +125,20 @@ def test_near_copies_of_one_hub_are_one_group(spark):
     assert got == groups(rows)
 
 
+def test_cut_and_extended_copies_are_met(spark):
+    """Pairs without nearer copies whose fingerprints may lie far apart: a block is cut off or added."""
+    rng = random.Random(4)
+    new = lambda n: ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    rows = []
+    for i in range(400):
+        words = new(rng.randrange(50, 150))
+        n = len(words)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n - n * rng.randrange(8, 19) // 100] if i % 2 else words + new(n * rng.randrange(8, 25) // 100)))]
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = groups(rows)
+    assert got == want and sum(d != k for d, k in want.items()) > 300
+
+
 def test_frequent_shingles_last_give_the_same_groups(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 3000")
     monkeypatch.setattr(simhash, "_SAMPLED", 1)
