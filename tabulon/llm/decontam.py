@@ -8,8 +8,9 @@ shared span. A span counts if it holds a whole window of the item: `window` cons
 The test set is joined as a broadcast of checked size: beyond `block_bytes` it is cut into blocks by a hash of its items, one pass
 over the documents each, and the spans of the passes are merged. Documents are never shuffled with their text.
 
-Defined results: null or empty texts have no words and are clean; repeated items and documents count each by itself; an empty test
-set leaves every document clean; other columns are ignored.
+Defined results: null or empty texts have no words and are clean; repeated items and documents count each by itself; an item without an id
+hits and contaminates like any other, but is left out of n_items and items_sha256; an empty test set leaves every document clean; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.window, self.items = window, []
         found: dict[tuple[int, int], dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for name, text in items:
@@ -121,7 +122,8 @@ class TestSet:
                     done[row, item, p - q] = max(b, p + k)
                     if b - a >= min(self.window, len(words_)):
                         spans[row].append((a - lo, b - lo))
-                        names[row].add(name)
+                        if name is not None:
+                            names[row].add(name)
         return spans, names
 
 
@@ -160,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def passed(block: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = sc.broadcast([(r.item, bytes(r.text)) for r in own.collect() if r.item is not None])  # about block_bytes
+        shared = sc.broadcast([(r.item, bytes(r.text)) for r in own.collect()])  # about block_bytes
 
         key = uuid.uuid4().hex
 
@@ -208,7 +210,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > block_bytes:
         found = contamination(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, share, block_bytes)
         return docs.join(found.where("contaminated").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect() if r.item is not None])  # at most block_bytes
+    shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect()])  # at most block_bytes
     at, key = docs.columns.index(text_col), uuid.uuid4().hex
 
     def run(batches):

@@ -57,3 +57,14 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontam.contamination(d, b).collect()] == [False]
     assert decontam.contamination(d.limit(0), b).collect() == []
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_items_without_an_id_count(spark, block):
+    text = "the quick brown fox jumps over one lazy dog near that old barn"
+    d = spark.createDataFrame([(1, text), (2, "other words here")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, text), (7, "no such words"), (8, "nor any of these words at all")], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in decontam.contamination(d, b, block_bytes=block).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert got == {1: (13, 13, 0, none, True), 2: (3, 0, 0, none, False)}
+    assert [r.doc_id for r in decontam.without_contaminated(d, b, block_bytes=block).collect()] == [2]
