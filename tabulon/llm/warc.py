@@ -8,7 +8,8 @@ The as-of join runs on two levels, so that one URL that holds a third of all rec
 window carries the last response forward; over the buckets of a URL, at most BUCKETS rows, a second window carries each bucket's last
 response on. Payloads take no part; only ids, validators and headers are shuffled.
 
-Defined results: a null or empty URL, or no earlier response, gives `orphan`; validators that both sides have and that differ give
+Defined results: a response is full if its status is null or 200, and others (errors, redirects, parts, stored 304s) are passed over, as
+if absent; a null or empty URL, or no earlier response, gives `orphan`; validators that both sides have and that differ give
 `mismatch`; no validator on both sides gives `unvalidated`; ties in time go by record id; repeated records resolve alike; payload
 columns and other columns are ignored; an empty table gives an empty result.
 """
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Time buckets that a URL's records are dealt over at most.
 BUCKETS = 256
+#: Fixed value: status of a response that holds its whole payload.
+FULL = 200
 #: Header fields that a 304 response may update (RFC 9110, 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only track visits.
@@ -51,16 +54,19 @@ def _agrees(a: Column, b: Column, weak: bool = False) -> Column:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Revisits among records (record_id, url, ts, kind `response` or `revisit`, etag, last_modified, digest, headers map) with what they stand for.
+    """Revisits among records (record_id, url, ts, kind `response` or `revisit`, etag, last_modified, digest, headers map; status if they have it) with what they stand for.
 
     Gives record_id, canonical_url, refers_to (record_id of the response, also on a mismatch), resolution, headers (merged if resolved).
     ts: any ordered number.
     """
     info = F.struct("record_id", "etag", "last_modified", "digest", "headers")
+    whole = F.col("kind") == "response"
+    if "status" in records.columns:
+        whole = whole & (F.col("status").isNull() | (F.col("status") == FULL))
     rows = records.select(
-        "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("double").alias("ts"), F.col("kind") == "response",
-        F.when(F.col("kind") == "response", info).alias("full"), F.when(F.col("kind") == "revisit", info).alias("own"),
-    ).drop("(kind = response)")
+        "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("double").alias("ts"),
+        F.when(whole, info).alias("full"), F.when(F.col("kind") == "revisit", info).alias("own"),
+    )
     low, high = rows.agg(F.min("ts"), F.max("ts")).first()
     span = max(((high or 0) - (low or 0)) / BUCKETS, 1e-9)
     keyed = rows.where(F.col("canonical_url").isNotNull()).withColumn("bucket", F.floor((F.col("ts") - F.lit(low or 0.0)) / span))

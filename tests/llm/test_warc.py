@@ -82,3 +82,11 @@ def test_files_are_read_and_resolved(spark, tmp_path):
     out = warc.resolve(rows).collect()
     assert [(r.resolution, r.refers_to) for r in out] == [("resolved", got["<a>"].record_id)]
     assert out[0].headers == {"etag": '"1"', "date": "d", "content-type": "text/html"}
+
+
+@pytest.mark.parametrize("status", [404, 301, 206, 304])
+def test_other_responses_in_between_are_passed_over(spark, status):
+    rows = [(1, "http://a.b/c", 1.0, "response", 200, '"x"'), (2, "http://a.b/c", 2.0, "response", status, '"y"'), (3, "http://a.b/c", 3.0, "revisit", 304, '"x"'), (4, "http://a.b/d", 1.0, "response", None, '"x"'), (5, "http://a.b/d", 2.0, "revisit", None, '"x"'), (6, "http://a.b/e", 1.0, "response", status, '"x"'), (7, "http://a.b/e", 2.0, "revisit", 304, '"x"')]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], "record_id long, url string, ts double, kind string, status int, etag string, last_modified string, digest string, headers map<string,string>")
+    got = {r.record_id: (r.resolution, r.refers_to) for r in warc.resolve(df).collect()}
+    assert got == {3: ("resolved", 1), 5: ("resolved", 4), 7: ("orphan", None)}
