@@ -5,7 +5,7 @@ to where matching goes on after the longest pieces are taken off, with the numbe
 So each letter is read once: the count of pieces follows without building any piece.
 
 Defined results: null and empty texts have no words and no tokens; a word that the vocabulary cannot cover, or of more than
-`max_word` letters, is one unknown token; repeated rows count each by itself; other columns are ignored.
+`max_word` letters where that is given, is one unknown token; repeated rows count each by itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from ._text import utf8
 
 #: Words whose counts a worker remembers.
 CACHE_WORDS = 500_000
-#: Longest word that is matched; longer ones are one unknown token.
-MAX_WORD = 200
 #: The mark that a vocabulary of word-initial pieces puts before them.
 INITIAL = "▁"
 
@@ -114,7 +112,7 @@ def piece_vocabulary(model_path: str | None = None) -> tuple[set[str], set[str]]
 _WORKER: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
 
 
-def token_counts(docs: DataFrame, heads: set[str] | None = None, tails: set[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_word: int = MAX_WORD) -> DataFrame:
+def token_counts(docs: DataFrame, heads: set[str] | None = None, tails: set[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_word: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_tokens (an unknown word is one), n_unknown. Words are what stands between ASCII white space."""
     if heads is None or tails is None:
         heads, tails = piece_vocabulary()
@@ -129,7 +127,7 @@ def token_counts(docs: DataFrame, heads: set[str] | None = None, tails: set[str]
 
         def look(word: bytes) -> int:
             text = word.decode()
-            n = automaton.count(text) if len(text) <= max_word else -1
+            n = automaton.count(text) if max_word is None or len(text) <= max_word else -1
             if len(word) <= 64:
                 if len(known) >= CACHE_WORDS:
                     known.clear()

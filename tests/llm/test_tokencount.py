@@ -34,3 +34,17 @@ def test_edge_cases(spark):
     got = sorted(tuple(r) for r in tokencount.token_counts(df, {"a", "ab"}, {"b"}).collect())
     assert got == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 2, 2, 0), (4, 2, 2, 0), (5, 200_000, 200_000, 0), (6, 1, 1, 1)]
     assert tokencount.token_counts(df.limit(0), {"a"}, set()).collect() == []
+
+
+def test_words_of_any_length_are_matched(spark):
+    rng = random.Random(5)
+    heads, tails = {"a", "ab", "abb"}, {"a", "b", "ba", "bab"}
+    word = "a" + "".join(rng.choices("ab", k=99_999))
+    want, at = 0, 0
+    while at < len(word):  # greedy, by pieces of three letters at most
+        at += next(n for n in (3, 2, 1) if word[at : at + n] in (tails if at else heads))
+        want += 1
+    df = spark.createDataFrame([(1, word), (2, word + "x"), (3, "a" * 201)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in tokencount.token_counts(df, heads, tails).collect())
+    assert got == [(1, 1, want, 0), (2, 1, 1, 1), (3, 1, 201, 0)]
+    assert tokencount.token_counts(df.where("doc_id = 3"), heads, tails, max_word=200).first()[1:] == (1, 1, 1)
