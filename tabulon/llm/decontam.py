@@ -6,7 +6,8 @@ documents' fingerprints while these are made, and each meeting is extended word
 shared span. A span counts if it holds a whole window of the item: `window` consecutive words, or all words of a shorter item.
 
 The test set is joined as a broadcast of checked size: beyond `block_bytes` it is cut into blocks by a hash of its items, one pass
-over the documents each, and the spans of the passes are merged. Documents are never shuffled with their text.
+over the documents each. For that the documents are written once with a row number, by which the spans of the passes are merged and rows
+are dropped, so each row is judged by itself whatever the test set's size. Documents are never shuffled with their text.
 
 Defined results: null or empty texts have no words and are clean; repeated items and documents count each by itself; an item without an id
 hits and contaminates like any other, but is left out of n_items and items_sha256; an empty test set leaves every document clean; other
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import Scratch
 from ._text import ALNUM, LOWER, mix, slices, span_hashes, utf8, words
 
 #: k of the k-grams for a guarantee of `window` words; the rest of the window is winnowed.
@@ -152,64 +154,87 @@ def _row(n_words: int, spans, names, share: int) -> tuple[int, int, str, bool]:
     return n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n_words
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document SCHEMA's columns: contaminated if at least 1/share of its words lie in an occurrence of an item's window."""
-    sc = docs.sparkSession.sparkContext
+def _sized(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """Items (item, text) and the bytes of their texts."""
     items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), utf8(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    return items, items.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
+def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, share: int) -> DataFrame:
+    """source (row, doc_id, text; row differs) to row and SCHEMA's columns, by one pass for each block of items."""
+    sc = source.sparkSession.sparkContext
 
     def passed(block: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         shared = sc.broadcast([(r.item, bytes(r.text)) for r in own.collect()])  # about block_bytes
-
         key = uuid.uuid4().hex
 
         def run(batches):
             test = _test_set(key, shared, window)
             for batch in batches:
                 out = []
-                for _, _, raw, offs in slices(batch, 1):
+                for _, _, raw, offs in slices(batch, 2):
                     data = LOWER[raw]
                     starts, ends, first = words(data, offs, ALNUM)
                     spans, names = test.hits(data, starts, ends, first)
-                    for row, n in enumerate(np.diff(first).tolist()):
-                        if blocks > 1:
-                            out.append((n, [x for s in spans.get(row, ()) for x in s], sorted(names.get(row, ()))))
-                        else:
-                            out.append((n, *_row(n, spans.get(row, []), names.get(row, ()), share)))
-                columns = list(zip(*out, strict=True)) if out else [()] * (3 if blocks > 1 else 5)
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())] if blocks > 1 else [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *"abcde"[: len(kinds)]])
-
-        return source.mapInArrow(run, "doc_id long, n_words long, spans array<long>, items array<string>" if blocks > 1 else SCHEMA)
-
-    if blocks == 1:
-        return passed(0)
-    # Rows of one doc_id in several passes: numbered by their order of equal (doc_id, n_words), which count alike in each pass.
-    every = None
-    for b in range(blocks):
-        every = passed(b) if every is None else every.union(passed(b))
-    both = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count("*").alias("n"))
+                    out += [(n, [x for s in spans.get(row, ()) for x in s], sorted(names.get(row, ()))) for row, n in enumerate(np.diff(first).tolist())]
+                columns = list(zip(*out, strict=True)) if out else [()] * 3
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "doc_id", "n_words", "spans", "items"])
+
+        return source.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, spans array<long>, items array<string>")
+
+    every = passed(0)
+    for b in range(1, blocks):
+        every = every.union(passed(b))
+    both = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def settle(batches):
         for batch in batches:
             out = []
-            for doc, n_words, spans, names, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(doc, n_words, *_row(n_words, list(zip(spans[::2], spans[1::2], strict=True)), set(names), share))] * (n // blocks)
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string(), pa.bool_()], strict=True)], list("abcdef"))
+            for row, doc, n_words, spans, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.append((row, doc, n_words, *_row(n_words, list(zip(spans[::2], spans[1::2], strict=True)), set(names), share)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.string(), pa.bool_()], strict=True)], list("abcdefg"))
 
-    return both.mapInArrow(settle, SCHEMA)
+    return both.mapInArrow(settle, f"row long, {SCHEMA}")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document SCHEMA's columns: contaminated if at least 1/share of its words lie in an occurrence of an item's window."""
+    items, size = _sized(benchmark, item_id_col, item_text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    if size > block_bytes:
+        source = Scratch(docs.sparkSession, "decontam").save(source.withColumn("row", F.monotonically_increasing_id()), "source")
+        return _in_blocks(source, items, -(-size // block_bytes), window, share).drop("row")
+    shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect()])  # at most block_bytes
+    key = uuid.uuid4().hex
+
+    def run(batches):
+        test = _test_set(key, shared, window)
+        for batch in batches:
+            out = []
+            for _, _, raw, offs in slices(batch, 1):
+                data = LOWER[raw]
+                starts, ends, first = words(data, offs, ALNUM)
+                spans, names = test.hits(data, starts, ends, first)
+                out += [(n, *_row(n, spans.get(row, []), names.get(row, ()), share)) for row, n in enumerate(np.diff(first).tolist())]
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *"abcde"])
+
+    return source.mapInArrow(run, SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that are not contaminated, unchanged. A test set of one block is matched in place, without a shuffle."""
-    items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), utf8(item_text_col).alias("text"))
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > block_bytes:
-        found = contamination(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, share, block_bytes)
-        return docs.join(found.where("contaminated").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    items, size = _sized(benchmark, item_id_col, item_text_col)
+    if size > block_bytes:
+        mark = f"_row_{uuid.uuid4().hex}"
+        kept = Scratch(docs.sparkSession, "decontam").save(docs.withColumn(mark, F.monotonically_increasing_id()), "source")
+        source = kept.select(F.col(mark).alias("row"), F.lit(None).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+        found = _in_blocks(source, items, -(-size // block_bytes), window, share)
+        return kept.join(found.where("contaminated").select(F.col("row").alias(mark)), mark, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect()])  # at most block_bytes
     at, key = docs.columns.index(text_col), uuid.uuid4().hex
 

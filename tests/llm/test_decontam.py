@@ -68,3 +68,17 @@ def test_items_without_an_id_count(spark, block):
     none = hashlib.sha256(b"").hexdigest()
     assert got == {1: (13, 13, 0, none, True), 2: (3, 0, 0, none, False)}
     assert [r.doc_id for r in decontam.without_contaminated(d, b, block_bytes=block).collect()] == [2]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_rows_of_one_id_or_none_are_judged_each_by_itself(spark, block):
+    text, other = "the quick brown fox jumps over one lazy dog near that old barn", "a b c d e f g h i j k l m"
+    rows = [(1, text), (1, other), (None, text), (None, other), (2, "clean"), (2, text)]
+    items = [(7, text), (8, "nor any of these words at all")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: (r[0] or 0, *r[1:])
+    got = sorted((tuple(r) for r in decontam.contamination(d, b, block_bytes=block).collect()), key=key)
+    assert got == sorted((brute([r], items)[0] for r in rows), key=key)
+    kept = [tuple(r) for r in decontam.without_contaminated(d, b, block_bytes=block).collect()]
+    assert sorted(kept, key=key) == [(None, other), (1, other), (2, "clean")]
