@@ -6,6 +6,9 @@ step, with its sum of c*log2(c), so its entropy costs no recount. Each character
 the wider base64 alphabet. A candidate whose best window reaches its class's threshold is a span, unless an allow-list pattern
 suppresses it or it overlaps a base span. Base spans always stay.
 
+`redact` masks more than `scan` lists, whose spans its SQL defines: candidates that overlap base spans too, and of candidates that hold a
+marked example the runs of path segments without a mark, judged as candidates of their own.
+
 Positions are code points, ends exclusive. Patterns have no positions in Spark SQL, so they come from the lengths of the text
 between matches (`split`) and of the matches (`regexp_extract_all`), which alternate.
 
@@ -28,12 +31,14 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % WINDOW
 #: Least entropy in bits of a window, by character class.
 HEX_BITS, BASE64_BITS = 3.0, 3.9
+#: Marks of examples.
+MARKED = r"(?i:0123456789|abcdefghij|example|placeholder|xxxxx)"
 #: Candidates that are no secrets: no digit or no letter, UUIDs, runs of the alphabet or of digits, and marked examples.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)0123456789|abcdefghij|example|placeholder|xxxxx",
+    MARKED,
 )
 
 #: A candidate in which no letter touches a digit, and without a plus sign, is a path or slug of words and numbers, and allowed.
@@ -94,8 +99,19 @@ def _random(value: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(F.round(window_bits(value, WINDOW), 9) >= least)
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with columns _text (null as empty), _base and _more: sorted spans (s, k: index of KINDS, e)."""
+def _unmarked(text: Column) -> Column:
+    """Random spans in the runs of path segments without a mark, of the text's candidates that hold a mark."""
+    long_random = lambda v: F.when(F.char_length(v) >= WINDOW, _random(v)).otherwise(F.lit(False))
+
+    def inside(x):
+        part = text.substr(x["s"] + 1, x["e"] - x["s"])
+        return F.transform(_alternate(part, _SEGMENTS, 3, long_random), lambda y: F.struct((y["s"] + x["s"]).alias("s"), y["k"].alias("k"), (y["e"] + x["s"]).alias("e")))
+
+    return F.flatten(F.transform(F.filter(_alternate(text, _MIXED, 3, lambda v: v.rlike(MARKED)), lambda x: x["e"] > x["s"]), inside))
+
+
+def with_spans(docs: DataFrame, text_col: str = "text", every: bool = False) -> DataFrame:
+    """docs with columns _text (null as empty), _base and _more: sorted spans (s, k: index of KINDS, e). every: for redact."""
     text, none = F.col("_text"), F.array().cast(_SPAN)
     long_as = lambda least: lambda v: F.char_length(v) >= least
     # A cheap test first: most texts hold none of the candidates, and then nothing of them is split.
@@ -106,6 +122,8 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_some": F.when(text.rlike(_MIXED), _alternate(text, _MIXED, 3, _random)).otherwise(none),
     })
     based = found.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
+    if every:
+        return based.withColumn("_more", F.concat("_some", F.when(F.contains(text, F.lit("/")) & text.rlike(MARKED) & text.rlike(_MIXED), _unmarked(text)).otherwise(none))).drop("_assign", "_access", "_hex", "_some")
     apart = F.filter("_some", lambda x: ~F.exists("_base", lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"])))
     return based.withColumn("_more", apart).drop("_assign", "_access", "_hex", "_some")
 
@@ -114,6 +132,9 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 _HEX_LONG = r"(?<![0-9a-f])[0-9a-f]{%d,}" % LEAST["hex"]
 #: Candidates that mix letters and digits.
 _MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + CANDIDATE
+#: A run of path segments without a mark. Possessive, as other groups recur.
+_SEGMENT = r"(?![A-Za-z0-9+_-]*?" + MARKED + r")[A-Za-z0-9+_-]"
+_SEGMENTS = r"(?<![A-Za-z0-9+_-])" + _SEGMENT + r"++(?:/" + _SEGMENT + r"*+)*+"
 
 
 def _written(spans: Column) -> Column:
@@ -136,7 +157,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "<secret>") -> DataFrame:
     """docs with every span of its text replaced by `mask`; overlapping spans by one. Rows without spans are unchanged."""
-    rows = with_spans(docs, text_col)
+    rows = with_spans(docs, text_col, every=True)
     every = F.array_sort(F.concat("_base", "_more"))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

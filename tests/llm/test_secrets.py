@@ -76,3 +76,20 @@ def test_redact_keeps_rows_and_columns(spark):
     assert out.columns == df.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a <secret> z", 2: None, 3: "clean"}
     assert secrets.scan(df.limit(0)).collect() == []
+
+
+def test_redact_masks_whole_tokens_around_base_spans_and_keys_beside_marks(spark):
+    key, run = "x8Kq2ZpL7vTn4RwYb6Jd1Mf9Hs3Gc5Ae", "0123abcd" * 3
+    rows = [
+        (1, f"a Qz7Xw9Rt5Lm2{run}Kp4Vb8Nc6Hs1 b", "a <secret> b"),
+        (2, f"see host/example/{key} end", "see host/example/<secret> end"),
+        (3, f"see {key}/placeholder/x end", "see <secret>/placeholder/x end"),
+        (4, f"see host/example{key} end", f"see host/example{key} end"),
+        (5, "see host/example/" + "ab1/" * 100_000 + " end", "see host/example/" + "ab1/" * 100_000 + " end"),
+        (6, f"see {'z' * 100_000}1example/x", f"see {'z' * 100_000}1example/x"),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, _, want in rows:
+        assert got[i] == want, (i, got[i][:80])
+    assert {r.doc_id: r.n_entropy for r in secrets.scan(df).collect()} == dict.fromkeys(range(1, 7), 0)
