@@ -590,6 +590,33 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, s array<long>")
 
 
+def _long_parities(batches):
+    """(doc_id, s) to (doc_id, n, q): parities of the set on two bits a member or more, a power of two of them; larger ones fold to smaller ones."""
+    for batch in batches:
+        offs = batch.column(1).offsets.to_numpy(zero_copy_only=False)
+        flat, q = batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64), [np.zeros(0, np.int64)]
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            bits = 64 << max(0, (b - a - 1) // 32).bit_length()
+            odd = np.bincount((flat[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+            q.append(np.packbits(odd, bitorder="little").view("<i8"))
+        ends = np.cumsum([0, *map(len, q[1:])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(q)))], ["doc_id", "n", "q"])
+
+
+def _close(batches, similarity: float):
+    """(x, y, n: of both sets, qx, qy) to the (x, y) whose parities do not rule the similarity out."""
+    for batch in batches:
+        n = batch.column(2).to_numpy(zero_copy_only=False)
+        (a, at), (b, bt) = ((c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy(zero_copy_only=False)) for c in (batch.column(3), batch.column(4)))
+        keep = np.zeros(len(n), bool)
+        for i in range(len(n)):
+            u, v = a[at[i] : at[i + 1]], b[bt[i] : bt[i + 1]]
+            size = min(len(u), len(v))
+            u, v = (np.bitwise_xor.reduce(w.reshape(-1, size), axis=0) for w in (u, v))
+            keep[i] = int(np.bitwise_count(u ^ v).sum()) * (1 + similarity) <= (1 - similarity) * n[i] + 1e-6
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(keep))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
     """(doc_id, keep_id: the least doc_id of its group) of each row. Groups are the components of verified edges at that Jaccard similarity of k-word shingle sets.
 
@@ -607,6 +634,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Of saved edges (x, y), those at the similarity."""
         ends = edges.select(F.col("x").alias("doc_id")).union(edges.select("y")).distinct()
         sets = scratch.save(_sets(texts.join(_few(ends), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), f"sets_{name}")
+        # Sets are long: only pairs that their parities leave open meet them.
+        q = scratch.save(sets.mapInArrow(_long_parities, "doc_id long, n long, q array<long>"), f"parities_{name}")
+        both = edges.join(q.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("q").alias("qx")), "x").join(q.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("q").alias("qy")), "y")
+        both = both.select("x", "y", (F.col("nx") + F.col("ny")).alias("n"), "qx", "qy")
+        edges = scratch.save(both.mapInArrow(lambda it: _close(it, similarity), "x long, y long"), f"open_{name}")
         shared = F.size(F.array_intersect("sx", "sy"))
         good = edges.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
         good = scratch.save(good.select(F.col("x").alias("a"), F.col("y").alias("b")), f"good_{name}")
