@@ -149,6 +149,11 @@ def merged(spans: list[tuple[int, int]]) -> int:
     return total
 
 
+def leaks(spans: list[tuple[int, int]], n_words: int, window: int, share: int) -> bool:
+    """Whether a text is to be left out: it holds a whole window, however long it is, or shorter items that are 1/share of its words."""
+    return any(b - a >= window for a, b in spans) or (bool(spans) and share * merged(spans) >= n_words)
+
+
 def _row(n_words: int, spans, names, share: int) -> tuple[int, int, str, bool]:
     n_hit = merged(spans)
     return n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n_words
@@ -161,7 +166,7 @@ def _sized(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> tuple[
 
 
 def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, share: int) -> DataFrame:
-    """source (row, doc_id, text; row differs) to row and SCHEMA's columns, by one pass for each block of items."""
+    """source (row, doc_id, text; row differs) to row, leaked and SCHEMA's columns, by one pass for each block of items."""
     sc = source.sparkSession.sparkContext
 
     def passed(block: int) -> DataFrame:
@@ -193,11 +198,13 @@ def _in_blocks(source: DataFrame, items: DataFrame, blocks: int, window: int, sh
         for batch in batches:
             out = []
             for row, doc, n_words, spans, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append((row, doc, n_words, *_row(n_words, list(zip(spans[::2], spans[1::2], strict=True)), set(names), share)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.string(), pa.bool_()], strict=True)], list("abcdefg"))
+                pairs = list(zip(spans[::2], spans[1::2], strict=True))
+                out.append((row, leaks(pairs, n_words, window, share), doc, n_words, *_row(n_words, pairs, set(names), share)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list("abcdefgh"))
 
-    return both.mapInArrow(settle, f"row long, {SCHEMA}")
+    return both.mapInArrow(settle, f"row long, leaked boolean, {SCHEMA}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -206,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     if size > block_bytes:
         source = Scratch(docs.sparkSession, "decontam").save(source.withColumn("row", F.monotonically_increasing_id()), "source")
-        return _in_blocks(source, items, -(-size // block_bytes), window, share).drop("row")
+        return _in_blocks(source, items, -(-size // block_bytes), window, share).drop("row", "leaked")
     shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect()])  # at most block_bytes
     key = uuid.uuid4().hex
 
@@ -227,14 +234,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that are not contaminated, unchanged. A test set of one block is matched in place, without a shuffle."""
+    """The rows of docs that do not leak test items (see `leaks`), unchanged. A test set of one block is matched in place, without a shuffle."""
     items, size = _sized(benchmark, item_id_col, item_text_col)
     if size > block_bytes:
         mark = f"_row_{uuid.uuid4().hex}"
         kept = Scratch(docs.sparkSession, "decontam").save(docs.withColumn(mark, F.monotonically_increasing_id()), "source")
         source = kept.select(F.col(mark).alias("row"), F.lit(None).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
         found = _in_blocks(source, items, -(-size // block_bytes), window, share)
-        return kept.join(found.where("contaminated").select(F.col("row").alias(mark)), mark, "left_anti").select(*docs.columns)
+        return kept.join(found.where("leaked").select(F.col("row").alias(mark)), mark, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast([(r.item, bytes(r.text)) for r in items.collect()])  # at most block_bytes
     at, key = docs.columns.index(text_col), uuid.uuid4().hex
 
@@ -246,7 +253,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                 data = LOWER[raw]
                 starts, ends, first = words(data, offs, ALNUM)
                 for row, spans in test.hits(data, starts, ends, first)[0].items():
-                    keep[a + row] = share * merged(spans) < first[row + 1] - first[row]
+                    keep[a + row] = not leaks(spans, int(first[row + 1] - first[row]), window, share)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

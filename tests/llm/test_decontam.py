@@ -29,6 +29,33 @@ def brute(docs, items, window=13):
     return sorted(out)
 
 
+def leaked(docs, items, window=13):
+    """Ids of texts with a whole window of an item, or of which shorter items are a twentieth or more."""
+    out = set()
+    long = [(i, t) for i, t in items if len(tokens(t)) >= window]
+    for row in docs:
+        if brute([row], long)[0][2] or brute([row], items)[0][5]:
+            out.add(row[0])
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_leaks_in_long_texts_go_and_short_items_need_a_share(spark, block):
+    rng = random.Random(12)
+    new = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    items = [(i, " ".join(new(rng.choice([3, 13, 20, 40])))) for i in range(30)]
+    docs = []
+    for i in range(80):
+        w, t = new(rng.choice([20, 100, 3000])), tokens(rng.choice(items)[1])
+        at = rng.randrange(len(w))
+        w[at:at] = t[: rng.choice([0, 5, 12, 13, 99])]
+        docs.append((i, " ".join(w)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    gone = leaked(docs, items)
+    assert 10 < len(gone) < 70 and any(len(tokens(t)) > 2000 for i, t in docs if i in gone)
+    assert {r.doc_id for r in decontam.without_contaminated(d, b, block_bytes=block).collect()} == {i for i, _ in docs} - gone
+
+
 def test_oracle(spark, sf_dir):
     compare(spark, "op9_winnowing", sf_dir)
 
