@@ -27,7 +27,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which less than a twentieth of the words lie in 13-word windows of benchmark items."""
+    """Rows that hold no 13 consecutive words of a benchmark item, however long they are; of shorter items, less than a twentieth of their words."""
     return decontam.without_contaminated(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
