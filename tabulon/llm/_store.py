@@ -34,3 +34,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def forget(self) -> None:
+        """Lets the cleaner remove the shuffle files of steps that are done: they go when the driver's collector finds them unused."""
+        self.spark.sparkContext._jvm.System.gc()
