@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +42,36 @@ class Scratch:
     def forget(self) -> None:
         """Lets the cleaner remove the shuffle files of steps that are done: they go when the driver's collector finds them unused."""
         self.spark.sparkContext._jvm.System.gc()
+
+
+_CODEC = pa.Codec("zstd", 1)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Number arrays as one compressed value; bytes of one rank stand together, as high ones repeat."""
+    head = struct.pack("<I", len(arrays)) + b"".join(a.dtype.str.encode().ljust(4) + struct.pack("<q", len(a)) for a in arrays)
+    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
+    raw = head + body
+    return struct.pack("<q", len(raw)) + _CODEC.compress(raw, asbytes=True)
+
+
+def unpacked(value: bytes) -> list[np.ndarray]:
+    raw = _CODEC.decompress(value[8:], struct.unpack("<q", value[:8])[0], asbytes=True)
+    n = struct.unpack("<I", raw[:4])[0]
+    out, at = [], 4 + 12 * n
+    for i in range(n):
+        kind, size = np.dtype(raw[4 + 12 * i : 8 + 12 * i].decode().strip()), struct.unpack("<q", raw[8 + 12 * i : 16 + 12 * i])[0]
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if size else np.zeros(0, kind))
+        at += size * kind.itemsize
+    return out
+
+
+def one_to_one(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers of which repartition(n, number) deals one to each partition."""
+    some = spark.range(20 * n + 200).select(F.col("id").cast("int").alias("k"))
+    rows = some.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()  # n rows
+    out = np.zeros(n, np.int32)
+    for r in rows:
+        out[r.p] = r.k
+    return out
