@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,3 +57,59 @@ def delete(table: DataFrame, condition: Column, key: Sequence[str] = (), order:
     if limit is not None:
         return table.join(_first(table, condition, key, order, limit), list(key), "left_anti").select(*table.columns)
     return table.where(~F.coalesce(condition, F.lit(False)))
+
+
+def tagged(table: DataFrame, keys: Sequence[Sequence[str]], given: DataFrame) -> DataFrame:
+    """table with `_hit`: whether a row has a value of one of the unique keys that a row of `given` (the rows of one statement) has, too."""
+    names = table.columns
+    for i, key in enumerate(keys):
+        known = given.select(*key).na.drop().distinct().withColumn(f"_m{i}", F.lit(True))
+        table = table.join(F.broadcast(known), list(key), "left")
+    hit = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"_m{i}"), F.lit(False)) for i in range(len(keys))), F.lit(False))
+    return table.select(*names, hit.alias("_hit"))
+
+
+def places(rows: Sequence[Sequence], names: Sequence[str], keys: Sequence[Sequence[str]]) -> list[dict[tuple, int]]:
+    """By unique key: the index of the row of each value. Keys with a null bind nothing."""
+    at = [[names.index(c) for c in key] for key in keys]
+    found: list[dict[tuple, int]] = [{} for _ in keys]
+    for i, row in enumerate(rows):
+        for where, key in zip(found, at, strict=True):
+            value = tuple(row[c] for c in key)
+            if None not in value:
+                where.setdefault(value, i)
+    return found
+
+
+def repeated(rows: Sequence[Sequence], names: Sequence[str], keys: Sequence[Sequence[str]]) -> Sequence[str] | None:
+    """A unique key of which two rows have one value."""
+    for key, found in zip(keys, places(rows, names, keys), strict=True):
+        at = [names.index(c) for c in key]
+        if len(found) < sum(None not in [r[c] for c in at] for r in rows):
+            return key
+    return None
+
+
+def fold(current: list[tuple], rows: Sequence[tuple], names: Sequence[str], keys: Sequence[Sequence[str]], update: Callable[[list[tuple[tuple, tuple]]], list[tuple]]) -> list[tuple]:
+    """INSERT ... ON DUPLICATE KEY UPDATE of a statement's rows, one after the other: a row that has a value of a unique key (the first key
+    first) of a row there changes that row, else it is added, where the next ones meet it. `update` changes pairs (old, new) of different old rows."""
+    at, waiting = 0, {}
+    while at < len(rows):
+        found = places(current, names, keys)
+        while at < len(rows):
+            row = rows[at]
+            values = [tuple(row[names.index(c)] for c in key) for key in keys]
+            hit = next((where[v] for where, v in zip(found, values, strict=True) if None not in v and v in where), None)
+            if hit in waiting:
+                break
+            if hit is None:
+                for where, v in zip(found, values, strict=True):
+                    where.setdefault(v, len(current))
+                current.append(row)
+            else:
+                waiting[hit] = row
+            at += 1
+        for i, changed in zip(waiting, update([(current[i], new) for i, new in waiting.items()]) if waiting else (), strict=True):
+            current[i] = changed
+        waiting = {}
+    return current

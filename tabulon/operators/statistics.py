@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of rows that a predicate without statistics is taken to keep.
 DEFAULT_SELECTIVITY = 0.8
+#: Values by which texts are cut into ranges.
+SAMPLED = 2048
 #: Most buckets of a histogram.
 MAX_BUCKETS = 1024
 
@@ -40,9 +44,12 @@ def running_sum(data: DataFrame, key: str, amount: str) -> DataFrame:
 
     Rows are cut into ranges of the key by approximate quantiles; sums run within a range, and the ranges' totals are added on.
     """
-    cuts = data.agg(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 1000)).first()[0] if dict(data.dtypes)[key] not in ("string", "binary", "boolean") else None
-    if cuts is None:
-        cuts = [r[0] for r in data.select(F.substring(F.col(key).cast("string"), 1, 3).alias("p")).groupBy("p").count().orderBy(F.desc("count"), "p").limit(64).select("p").orderBy("p").collect()]
+    if dict(data.dtypes)[key] in ("string", "binary", "boolean"):
+        # Whole values of least hash, whatever they begin with: as even as a sample of SAMPLED can be.
+        held = sorted(r[0] for r in data.select(key).orderBy(F.xxhash64(key)).limit(SAMPLED).collect())
+        cuts = held[len(held) // 64 :: max(1, len(held) // 64)][:63]
+    else:
+        cuts = data.agg(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
     part = reduce(lambda a, c: a + (F.col(key) > F.lit(c)).cast("int"), cuts, F.lit(0)) if cuts else F.lit(0)
     ranged = data.withColumn("_part", part)
@@ -103,18 +110,37 @@ def distinct_sketch(column: str | Column) -> Column:
     return F.hll_sketch_agg(column)
 
 
+def _least_hashes(column: str, size: int):
+    """Batches of hashes to the mask (bits that are zero) and the different hashes that are under it: `size` of them at most."""
+
+    def run(batches):
+        bits, held = 0, np.zeros(0, np.int64)
+        for batch in batches:
+            new = batch.column(0).to_numpy(zero_copy_only=False)
+            held = np.unique(np.concatenate([held, new[(new & ((1 << bits) - 1)) == 0]]))
+            while len(held) > size:
+                bits += 1
+                held = held[(held & ((1 << bits) - 1)) == 0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), bits, np.int32)), pa.array(held)], ["bits", "h"])
+
+    return run
+
+
 def fm_distinct(table: DataFrame, column: str, max_size: int = 10_000) -> float:
-    """Flajolet-Martin estimate with a doubling mask: hashes whose low bits are zero are kept; (mask + 1) * their number.
+    """Flajolet-Martin estimate with a doubling mask: hashes whose low bits are zero are kept; 2^bits times their number.
 
-    The counts by trailing zeros are summed where the data is, and give the mask that keeps max_size hashes at most; then those are counted.
+    Each task keeps max_size different hashes at most, under a mask of its own; those under the widest mask, or a wider one that all of them
+    need, are counted. What is shuffled grows with the tasks, not with the values.
     """
-    hashes = table.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h")).distinct()
+    hashes = table.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+    kept = hashes.mapInArrow(_least_hashes(column, max_size), "bits int, h long")
     zeros = F.when(F.col("h") == 0, 64).otherwise(F.bit_count(F.col("h").bitwiseAND(-F.col("h")) - 1))
-    by = {r.z: r.n for r in hashes.groupBy(zeros.alias("z")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    bits = 0
-    while sum(n for z, n in by.items() if z >= bits) > max_size:
+    rows = kept.groupBy("h").agg(F.max("bits").alias("bits")).groupBy(zeros.alias("z")).agg(F.count("*").alias("n"), F.max("bits").alias("bits")).collect()  # 65 rows at most
+    bits = max((r.bits for r in rows), default=0)
+    count = lambda: sum(r.n for r in rows if r.z >= bits)
+    while count() > max_size:
         bits += 1
-    return float((1 << bits) * sum(n for z, n in by.items() if z >= bits))
+    return float((1 << bits) * count())
 
 
 def analyze(table: DataFrame, columns: Sequence[str] = (), buckets: int = 256, top: int = 20, sample_rows: int = 10_000, seed: int = 0) -> dict[str, DataFrame]:
@@ -126,6 +152,31 @@ def analyze(table: DataFrame, columns: Sequence[str] = (), buckets: int = 256, t
     return out
 
 
+#: Columns of the statistics table, one row for each column or index.
+STATS_SCHEMA = "name string, id int, isIndex int, rowCount long, hId long, hNdv long, hNullCount long, hTotalCount double, hBuckets long, cRowCount int, cColumnCount int, cHashTables int, cDefaultValue long, cNdv long, cTotalCount long"
+
+
+def table_statistics(table: DataFrame, indices: Sequence[tuple[str, Sequence[str]]] = (), buckets: int = 256, depth: int = 5, width: int = 2048) -> dict:
+    """ANALYZE TABLE: `table` (STATS_SCHEMA; of an index, of its columns' values together), `rows`, and `histograms` by column.
+
+    One pass gives the figures of all columns and indices; each histogram is a plan that runs when it is read. Of the count-min sketch:
+    depth rows of width counters, the values it holds, and the count that a value without a counter of its own is taken to have.
+    """
+    names = [c for c, k in table.dtypes if not k.startswith(("array", "map", "struct"))]
+    items = [(c, (c,), 0) for c in names] + [(i, tuple(cs), 1) for i, cs in indices]
+
+    def whole(cs):
+        return F.when(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cs)), F.xxhash64(*cs))
+
+    parts = [F.struct(F.count("*").alias("n"), F.count(whole(cs)).alias("some"), F.approx_count_distinct(whole(cs), 0.02).alias("ndv")).alias(f"i{k}") for k, (_, cs, _) in enumerate(items)]
+    found = table.agg(*parts).first()
+    rows = []
+    for k, (name, _, index) in enumerate(items):
+        n, some, ndv = found[k]["n"], found[k]["some"], min(found[k]["ndv"], found[k]["some"])
+        rows.append((name, k + 1, index, n, k + 1, ndv, n - some, float(some), min(buckets, ndv), depth, width, depth, some // max(ndv, 1), ndv, some))
+    return {"table": table.sparkSession.createDataFrame(rows, STATS_SCHEMA), "rows": found[0]["n"] if items else table.count(), "histograms": {c: histogram(table, c, buckets) for c in names}}
+
+
 def selectivity(hist: DataFrame | None, rows: int, low=None, high=None) -> float:
     """Share of rows kept by a range predicate; DEFAULT_SELECTIVITY without a histogram."""
     return DEFAULT_SELECTIVITY if hist is None or not rows else min(1.0, histogram_rows(hist, low, high) / rows)

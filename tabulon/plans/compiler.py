@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import crypto, logic, numeric, temporal, text
+from ..functions import casts, crypto, logic, numeric, temporal, text
 from ..operators import aggregate as agg
 from ..operators import relational
 from ..sources.types import spark_type
@@ -179,10 +180,10 @@ class Compiler:
         if k == "truth":
             return (logic.is_true if n.value == "true" else logic.is_false)(self.column(n.args[0]))
         if k == "in":
-            x, *items = map(self.column, n.args)
+            x, *items = self.alike(n.args, [*map(self.column, n.args)])
             return x.isin(*items)
         if k == "between":
-            return logic.between(*map(self.column, n.args))
+            return logic.between(*self.alike(n.args, [*map(self.column, n.args)]))
         if k == "like":
             return text.like(*map(self.column, n.args), n.value)
         if k == "regexp":
@@ -196,9 +197,26 @@ class Compiler:
             return self._call(n)
         raise SqlError(f"cannot evaluate {n.text or k}")
 
+    def number(self, n: Node, x: Column) -> Column:
+        """x where a number is needed: of a text the number that it begins with. A literal's is found here, so filters on columns are still pushed down."""
+        if not isinstance(self.kind(x), T.StringType):
+            return x
+        if n.kind == "lit" and isinstance(n.value, str):
+            found = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", n.value)
+            value = float(found[1]) if found else 0.0
+            return F.lit(int(value)) if value == int(value) and abs(value) < 2**53 else F.lit(value)
+        return casts.prefix_number(x)
+
+    def alike(self, nodes, args: list[Column]) -> list[Column]:
+        """Sides of a comparison: texts beside numbers are read as numbers."""
+        kinds = [self.kind(x) for x in args]
+        if any(isinstance(k, T.NumericType) for k in kinds) and any(isinstance(k, T.StringType) for k in kinds):
+            return [self.number(n, x) for n, x in zip(nodes, args, strict=True)]
+        return args
+
     def condition(self, n: Node) -> Column:
         """A WHERE or HAVING tree: numbers are true unless 0."""
-        return logic.truth(self.column(n))
+        return logic.truth(self.number(n, self.column(n)))
 
     def _cast(self, n: Node) -> Column:
         name = str(n.value).lower()
@@ -213,8 +231,12 @@ class Compiler:
         if op in ("+", "-") and n.args[-1].kind == "interval":
             return self.shifted(n.args[0], self.column(n.args[1].args[0]), n.args[1].value, 1 if op == "+" else -1)
         args = [self.column(a) for a in n.args]
+        if op in ("+", "-", "*", "/", "div", "%", "neg"):
+            args = [self.number(a, x) for a, x in zip(n.args, args, strict=True)]
+        elif op in ("=", "<=>", "!=", ">", ">=", "<", "<="):
+            args = self.alike(n.args, args)
         if op in ("and", "or", "xor", "not"):
-            args = [logic.truth(a) for a in args]
+            args = [logic.truth(self.number(a, x)) for a, x in zip(n.args, args, strict=True)]
         if op == "not":
             return ~args[0]
         if op == "neg":
@@ -256,7 +278,7 @@ class Compiler:
         if name in ("sum", "avg"):
             kind = self.kind(x)
             if isinstance(kind, (T.StringType, T.BooleanType)):
-                x = x.cast("double" if isinstance(kind, T.StringType) else "long")
+                x = casts.prefix_number(x) if isinstance(kind, T.StringType) else x.cast("long")
             return (F.sum_distinct(x) if distinct else F.sum(x)) if name == "sum" else (F.sum_distinct(x) / F.count_distinct(x) if distinct else F.avg(x))
         if name == "group_concat":
             return agg.group_concat(text.concat(*map(self.column, args)), extra if extra is not None else ",", distinct)

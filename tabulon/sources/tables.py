@@ -15,6 +15,10 @@ KEYS = {
 }
 
 
+class UnknownName(KeyError, ValueError):
+    """No such table or column."""
+
+
 @dataclass
 class ColumnInfo:
     name: str
@@ -52,7 +56,10 @@ class Table:
         return [i.columns for i in self.indices if i.primary or i.unique]
 
     def column(self, name: str) -> ColumnInfo:
-        return next(c for c in self.columns if c.name.lower() == name.lower())
+        found = next((c for c in self.columns if c.name.lower() == name.lower()), None)
+        if found is None:
+            raise UnknownName(f"no column {name} in {self.name}")
+        return found
 
 
 def type_name(kind: T.DataType) -> str:
@@ -61,7 +68,7 @@ def type_name(kind: T.DataType) -> str:
 
 
 class Catalog:
-    """Databases of tables. Changed tables are written as new Parquet versions under `root` (or kept as plans without one)."""
+    """Databases of tables. Changed tables are written as new Parquet versions under `root`: by default in the folder of spark.checkpoint.dir, or else in the warehouse."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, database: str = "test"):
         self.spark, self.root = spark, root
@@ -73,7 +80,7 @@ class Catalog:
         try:
             return self.databases[db or self.current][bare.lower()]
         except KeyError:
-            raise KeyError(f"no table {name}") from None
+            raise UnknownName(f"no table {name}") from None
 
     def add(self, table: Table, database: str | None = None) -> Table:
         self.databases[database or self.current][table.name.lower()] = table
@@ -97,13 +104,23 @@ class Catalog:
             self.register(name, read(self.spark, f"{folder}/{name}.{form}", form), KEYS.get(name, ()))
         return self
 
-    def replace(self, table: Table, data: DataFrame) -> Table:
-        """A new version of the table's rows. With a root it is written first, so plans stay short and readers of the old version are not disturbed."""
+    def versions(self) -> str:
+        """Folder of written versions, which all executors share."""
+        if not self.root:
+            conf = self.spark.sparkContext.getConf()
+            base = conf.get("spark.checkpoint.dir") or self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get("spark.sql.warehouse.dir")
+            self.root = f"{base.rstrip('/')}/tabulon-versions-{uuid.uuid4().hex}"
+        return self.root.rstrip("/")
+
+    def written(self, table: Table, data: DataFrame) -> DataFrame:
+        """The rows of a new version, written: plans stay short, readers of the old version are not disturbed, and each read finds the same."""
+        path = f"{self.versions()}/{self.current}/{table.name}/{uuid.uuid4().hex}"
         data = data.select(*(c.name for c in table.columns))
-        if self.root:
-            path = f"{self.root.rstrip('/')}/{self.current}/{table.name}/{uuid.uuid4().hex}"
-            data.write.parquet(path)
-            data = self.spark.read.schema(data.schema).parquet(path)
+        data.write.parquet(path)
+        return self.spark.read.schema(data.schema).parquet(path)
+
+    def replace(self, table: Table, data: DataFrame) -> Table:
+        """A version that is written becomes the table's."""
         table.data = data
         data.createOrReplaceTempView(self.view(table.name))
         return table

@@ -1,5 +1,6 @@
 """Golden queries over the people table, and the statements around them."""
 
+import time
 from datetime import date, datetime
 
 import pytest
@@ -104,7 +105,7 @@ def test_rejected(engine, sql):
 def test_point_get_is_a_pushed_filter(engine, spark, tmp_path):
     engine.catalog.table("t").data.write.parquet(str(tmp_path / "t"))
     engine.catalog.register("t", spark.read.parquet(str(tmp_path / "t")), ("id",))
-    plan = "\n".join(r.plan for r in engine.execute("explain select name from t where id = 3 or id = 5").collect())
+    plan = "\n".join(r.plan for r in engine.execute("explain format = 'formatted' select name from t where id = 3 or id = 5").collect())
     assert "In(id, [3,5])" in plan and "ReadSchema: struct<id:bigint,name:string>" in plan
 
 
@@ -180,7 +181,126 @@ def test_transactions(engine):
 
 
 def test_analyze(engine):
-    got = {r.column_name: r for r in engine.execute("analyze table t").collect()}
-    assert got["age"].row_count == 6 and got["age"].distinct_count == 4 and got["age"].min_value == "27"
+    got = {r.name: r for r in engine.execute("analyze table t").collect()}
+    assert (got["age"].rowCount, got["age"].hNdv, got["age"].hNullCount, got["age"].isIndex) == (6, 4, 0, 0)
+    assert got["PRIMARY"].isIndex == 1 and got["PRIMARY"].hNdv == 6
+    assert len(got["age"]) == 15  # the name, and the fourteen figures
     assert engine.execute("show stats_buckets where column_name = 'age'").count() == 4
+    assert engine.execute("show stats_buckets t").count() > 4
     assert engine.execute("show stats_meta").first().row_count == "6"
+    assert engine.execute("show stats_histograms where column_name = 'age'").first().distinct_count == "4"
+    engine.execute("drop stats t")
+    assert engine.execute("show stats_meta").collect() == []
+
+
+@pytest.fixture
+def stamped(spark):
+    e = Engine(spark)
+    e.execute("create table s (id bigint unsigned primary key, name varchar(20), at timestamp null on update current_timestamp, made timestamp default current_timestamp, k int not null default 0, unique index ux (name)) auto_increment=0")
+    return e
+
+
+def test_rows_of_one_statement_are_folded_by_key(stamped):
+    e = stamped.execute
+    e("insert into s(id, name, k) values (1, 'a', 1), (1, 'b', 2), (2, 'c', 5), (1, 'd', 4) on duplicate key update k = k + values(k)")
+    assert rows(stamped, "select id, name, k from s order by id") == [(1, "a", 7), (2, "c", 5)]
+
+
+def test_every_unique_key_counts(stamped):
+    e = stamped.execute
+    e("insert into s(id, name, k) values (1, 'a', 1), (2, 'b', 2)")
+    e("insert into s(id, name, k) values (9, 'a', 5), (2, 'zz', 7), (3, null, 1), (4, null, 1) on duplicate key update k = values(k) * 10")
+    assert rows(stamped, "select id, name, k from s order by id") == [(1, "a", 50), (2, "b", 70), (3, None, 1), (4, None, 1)]
+    for bad in ("insert into s(id, name) values (9, 'a')", "insert into s(id, name) values (5, 'q'), (6, 'q')", "insert into s(id, name) values (1, 'n') on duplicate key update name = 'b'"):
+        with pytest.raises(SqlError):
+            e(bad)
+    # A row added by a statement is met by its later rows, by either key.
+    e("insert into s(id, name, k) values (7, 'x', 1), (8, 'x', 2), (7, 'y', 3) on duplicate key update k = k * 10 + values(k)")
+    assert rows(stamped, "select id, name, k from s where id > 4") == [(7, "x", 123)]
+
+
+def test_updates_are_checked(stamped):
+    e = stamped.execute
+    e("insert into s(id, name) values (1, 'a'), (2, 'b')")
+    for bad in ("update s set id = 5 where id > 0", "update s set name = 'b' where id = 1", "update s set k = null where id = 1", "update s set id = null where id = 1"):
+        with pytest.raises(SqlError):
+            e(bad)
+    assert rows(stamped, "select id, name, k from s order by id") == [(1, "a", 0), (2, "b", 0)]
+    e("update s set id = id + 1 where id > 0")
+    assert rows(stamped, "select id from s order by id") == [(2,), (3,)]
+
+
+def test_a_statement_has_one_time(stamped):
+    e = stamped.execute
+    e("insert into s(id) values (1), (2)")
+    first = rows(stamped, "select id, at, made from s order by id")
+    assert first[0][1] is None and first[0][2] == first[1][2] is not None
+    e("update s set name = 'a' where id = 1")
+    once = rows(stamped, "select at from s where id = 1")
+    time.sleep(1.1)
+    assert rows(stamped, "select at from s where id = 1") == once != [(None,)]
+    assert rows(stamped, "select id, made from s order by id") == [(i, m) for i, _, m in first]
+    e("insert into s(id) values (2) on duplicate key update name = 'z'")
+    twice = rows(stamped, "select at from s where id = 2")
+    assert twice != [(None,)] and twice == rows(stamped, "select at from s where id = 2")
+
+
+def test_numbers_go_on_within_a_statement(spark):
+    engine = Engine(spark)
+    engine.execute("create table a (id bigint not null auto_increment primary key, v int)")
+    engine.execute("insert into a(id, v) values (null, 1), (10, 2), (null, 3)")
+    for v in (4, 5):
+        engine.execute(f"insert into a(v) values ({v})")
+    assert rows(engine, "select id, v from a order by id") == [(1, 1), (10, 2), (11, 3), (12, 4), (13, 5)]
+    assert "Join" not in engine.catalog.table("a").data._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("select '5abc' + 1, '1.5e1x' * 2, 'abc' - 1, -'7up'", [(6.0, 30.0, -1.0, -7)]),
+        ("select '5abc' = 5, 3 < '20', 'x' = 0, null = '1'", [(True, True, True, None)]),
+        ("select id from t where id = '3'", [(3,)]),
+        ("select id from t where id in ('1', '2x') order by id", [(1,), (2,)]),
+        ("select count(*) from t where name", [(0,)]),
+        ("select sum(concat(age, 'y')) from t where id < 3", [(60.0,)]),
+        ("select id from t where id between '2' and '3z' order by id", [(2,), (3,)]),
+    ],
+)
+def test_texts_among_numbers(engine, sql, want):
+    assert rows(engine, sql) == want
+
+
+@pytest.mark.parametrize("sql", ["show tables garbage trailing", "show databases x", "desc t t t", "use test now", "drop table t u", "analyze table t t", "select id from t;;x", "rename table t to u v", "commit it", "update t set nothing = 1 where id = 1", "insert into t(nothing) values (1)", "drop user nobody"])
+def test_words_left_over_and_unknown_names_are_errors(engine, sql):
+    with pytest.raises(SqlError):
+        engine.execute(sql)
+    assert rows(engine, "select count(*) from t") == [(6,)]
+
+
+def test_explain_rows(engine):
+    got = engine.execute("explain select class, count(*) from t where age > 27 group by class").collect()
+    assert list(got[0].asDict()) == ["op", "count", "task", "operator_info"]
+    assert got[0].op == "Aggregate" and got[-1].task == "db"
+    assert engine.execute("explain analyze select id from t where age > 27").first()["count"] == "5"
+    assert engine.execute("desc select 1").count() >= 1
+
+
+def test_information(engine):
+    e = engine.execute
+    assert [tuple(r) for r in e("show tables info").collect()] == [("1", "1", "t")]
+    assert [tuple(r) for r in e("show databases info").collect()] == [("1", "test")]
+    assert e("show status like 'Quest%'").first().Value == "3"
+    e("create user 'ann'@'%' identified by 'x'")
+    e("grant select, insert on test.* to 'ann'@'%'")
+    assert [r[0] for r in e("show grants for 'ann'").collect()] == ["GRANT USAGE ON *.* TO 'ann'@'%'", "GRANT INSERT, SELECT ON test.* TO 'ann'@'%'"]
+    e("revoke insert on test.* from 'ann'@'%'")
+    assert "GRANT SELECT ON test.*" in e("show grants for 'ann'").collect()[1][0]
+    e("drop user 'ann'")
+    assert e("show grants").first()[0] == "GRANT ALL PRIVILEGES ON *.* TO 'root'@'%'"
+
+
+def test_prepared_statements_are_parsed_once(engine, monkeypatch):
+    p = engine.prepare("select name from t where id = ?")
+    monkeypatch.setattr("tabulon.plans.engine.Parser", None)
+    assert [p.execute(i).first().name for i in (1, 2)] == ["Tom", "Jack"]
