@@ -9,7 +9,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,11 +66,24 @@ def unpacked(value: bytes) -> list[np.ndarray]:
     return out
 
 
-def one_to_one(spark: SparkSession, n: int) -> np.ndarray:
+def partition_hash(k: np.ndarray) -> np.ndarray:
+    """Spark's hash of an integer column (32-bit Murmur3, seed 42), by whose remainder rows are dealt to partitions."""
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    x = turn(k.astype(np.int32).view(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = (turn(np.uint32(42) ^ x, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def one_to_one(n: int) -> np.ndarray:
     """n numbers of which repartition(n, number) deals one to each partition."""
-    some = spark.range(20 * n + 200).select(F.col("id").cast("int").alias("k"))
-    rows = some.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()  # n rows
-    out = np.zeros(n, np.int32)
-    for r in rows:
-        out[r.p] = r.k
+    out, missing, at = np.zeros(n, np.int32), np.ones(n, bool), 0
+    while missing.any():
+        k = np.arange(at, at + 8 * n + 64, dtype=np.int32)
+        part = partition_hash(k) % n
+        part, first = np.unique(part, return_index=True)
+        new = missing[part]
+        out[part[new]], missing[part] = k[first[new]], False
+        at += len(k)
     return out
