@@ -1,17 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of a fixed number of tokens, in bulk-synchronous supersteps.
 
 1. Documents are tokenised once and cut into pieces of at most `capacity` tokens; the pieces (no texts, no ids) are written to the
-   shared folder with a rank within (task, length).
-2. Pieces and gaps are sorted by size. Pieces of one length are interchangeable, and so are gaps of one size, so the sorted state is
-   run-length coded: at most `capacity` classes of either, whatever the input's size. Class counts are summed by all executors.
-3. Lengths are swept downwards, one superstep each: all pieces of the class go at once to their successors, the least gaps that
-   still hold them; where several want one gap, the piece of the k-th rank takes the k-th gap, and the rest go on to the next
-   successor. Gaps are updated and what finds none opens new sequences.
-4. Every piece learns its rank from its task's offset and looks up its run: all executors place their own pieces.
-
-Only class counts and runs reach the driver: at most `capacity` counts, and runs whose number depends on the classes, not the rows.
-
-Defined results: null and empty texts are the end token alone; repeated rows are packed each by itself; an empty table gives no rows.
+   shared folder. As many sequences are opened as their tokens fill: gaps of the whole capacity.
+2. A superstep sorts pieces and gaps together by size, largest first, over ranges of rows (a size that many rows have is spread over
+   several). In each range the largest piece takes its successor, the least gap that still holds it, the next piece the next one, and
+   so on: gaps are opening brackets, pieces closing ones. What a range leaves is settled between ranges by rank: the first pieces of a
+   range take the last gaps of the ranges before it, and meet in a join by range and rank. A gap takes one piece a superstep.
+3. Gaps are updated, and the next superstep places the pieces that found none. When few of them do, new sequences are opened.
+   Each superstep places the largest pieces that fit, so some ten of them place almost all.
+
+The driver holds, for each superstep, counts by size (at most 2 * `capacity`) and two numbers of each range of RANGE_ROWS rows or more.
+
+Defined results: null and empty texts are the end token alone; repeated rows are packed each by itself; an empty table gives no rows. A
+tokenizer that is not of the kind that `WordCoder` codes word by word codes whole texts.
 """
 
 from __future__ import annotations
@@ -19,21 +20,20 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, one_to_one
 from ._text import utf8
 
 CAPACITY = 4096
 END_ID = 1
+#: Pieces and gaps of a range, and least number of ranges, of a superstep.
+RANGE_ROWS, RANGES = 100_000, 6
 #: Words and word parts whose ids a worker remembers: this many new ones, and as many before them.
 CACHE_WORDS = 150_000
 CACHE_PARTS = 200_000
@@ -114,13 +114,16 @@ def worker_coder(spec: str) -> WordCoder:
     return _WORKERS[key]
 
 
+#: Pieces (kind 1) and gaps (kind 0) with their sizes; of a gap its sequence, of a piece the rest.
+STATE = "kind int, size int, seq long, doc_id long, piece long, start long, ids_crc32 long"
+
+
 def pieces(docs: DataFrame, spec: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, shard, rank): each document's pieces; rank counts those of one length in a task."""
+    """STATE rows of each document's pieces."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
         coder = worker_coder(shared.value)
-        shard, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         end = struct.pack("<I", END_ID)
         for batch in batches:
             rows: list[tuple] = []
@@ -128,50 +131,149 @@ def pieces(docs: DataFrame, spec: str, capacity: int, id_col: str = "doc_id", te
                 ids = coder.encode(text.as_py()) + end
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc, at // (4 * capacity), at // 4, n, zlib.crc32(part), shard, seen[n]))
-                    seen[n] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, list("abcdefg"))
+                    rows.append((1, len(part) // 4, 0, doc, at // (4 * capacity), at // 4, zlib.crc32(part)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)] if rows else [pa.array([], k) for k in _KINDS], list("abcdefg"))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, shard long, rank long")
-
-
-def sweep(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Runs (length, first rank, first sequence, offset), sorted, by which pieces of a length and rank are placed; and the number of sequences."""
-    runs: list[tuple[int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size to runs (first sequence, number)
-    sizes: list[int] = []  # of the gaps that exist, ascending
-    opened = 0
-
-    def free(size: int, first: int, number: int) -> None:
-        if size and number:
-            if not gaps[size]:
-                insort(sizes, size)
-            gaps[size].append((first, number))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left and (at := bisect_left(sizes, length)) < len(sizes):
-            size = sizes[at]
-            first, number = gaps[size].pop()
-            take = min(left, number)
-            runs.append((length, rank, first, capacity - size))
-            if number > take:
-                gaps[size].append((first + take, number - take))
-            if not gaps[size]:
-                del sizes[at]
-            free(size - length, first, take)
-            rank, left = rank + take, left - take
-        each = capacity // length
-        whole, rest = divmod(left, each)
-        for fill, number in ((each, whole), (rest, 1 if rest else 0)):
-            for layer in range(fill if number else 0):
-                runs.append((length, rank, opened, layer * length))
-                rank += number
-            free(capacity - fill * length, opened, number)
-            opened += number
-    return np.array(sorted(runs), np.int64).reshape(-1, 4), opened
+    return source.mapInArrow(run, STATE)
+
+
+_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
+_OUT = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+#: Roles of rows after a sweep: placed pieces (size; offset in the sequence), pieces without a gap, gaps without a piece, gaps as they are now.
+PLACED, PIECE, GAP, CHANGED = range(4)
+SWEPT = "part int, role int, rank long, offset long, size int, seq long, doc_id long, piece long, start long, ids_crc32 long"
+
+
+def brackets(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of gaps (True) and pieces (False), largest first: matched gaps and their pieces, pieces left, gaps left (indices, each in order)."""
+    height = np.cumsum(np.where(gap, 1, -1))
+    floor = np.minimum(np.minimum.accumulate(height), 0) if len(gap) else height
+    lost = ~gap & (floor < np.concatenate([[0], floor[:-1]]))
+    level = height - floor + ~gap
+    rest = np.flatnonzero(~lost)
+    order = rest[np.argsort(level[rest], kind="stable")]  # on one level a gap and its piece follow one another
+    pair = np.flatnonzero(gap[order][:-1] & ~gap[order][1:] & (level[order][:-1] == level[order][1:])) if len(order) else order
+    taken = np.zeros(len(gap), bool)
+    taken[order[pair]] = True
+    return order[pair], order[pair + 1], np.flatnonzero(lost), np.flatnonzero(gap & ~taken)
+
+
+def between(left: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """Of the ranges' pieces and gaps left (counts, in order): runs (range, first rank, rank after the last, range of the gaps, gap's rank after
+    the first's), by which the piece of rank first + i takes the gap of rank last - 1 - i; and the gaps that each range keeps."""
+    runs, stack, kept = [], [], {}
+    for part, (wanting, offered) in enumerate(left):
+        rank = 0
+        while rank < wanting and stack:
+            of, n = stack.pop()
+            take = min(n, wanting - rank)
+            runs.append((part, rank, rank + take, of, n))
+            rank += take
+            if n > take:
+                stack.append((of, n - take))
+        if offered:
+            stack.append((part, offered))
+    kept.update(stack)
+    return runs, kept
+
+
+def _ranges(counts: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """By size and kind (index size * 2 + kind): the first range of such rows and how many they are spread over; the number of ranges."""
+    total = sum(counts.values())
+    n = max(RANGES, -(-total // RANGE_ROWS))
+    top = 2 * max(size for _, size in counts) + 2
+    first, spread, before = np.zeros(top, np.int64), np.ones(top, np.int64), 0
+    for kind, size in sorted(counts, key=lambda x: (-x[1], x[0])):
+        a, b = before * n // total, (before + counts[kind, size] - 1) * n // total
+        first[2 * size + kind], spread[2 * size + kind] = a, b - a + 1
+        before += counts[kind, size]
+    return first, spread, n
+
+
+def _sweep(state: DataFrame, counts: dict[tuple[int, int], int], capacity: int, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame]:
+    """One superstep: rows placed (STATE's columns and offset), and the state after it."""
+    spark = state.sparkSession
+    first, spread, n = _ranges(counts)
+    keys = one_to_one(n)
+
+    def deal(batches):
+        for batch in batches:
+            kind, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = 2 * size.astype(np.int64) + kind
+            part = first[at] + np.arange(batch.num_rows) % spread[at]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(part.astype(np.int32)), *batch.columns], ["k", "part", *batch.schema.names])
+
+    def match(batches):
+        held = [pa.Table.from_batches([b]) for b in batches]
+        if not held:
+            return
+        every = pa.concat_tables(held)
+        parts = every["part"].to_numpy()
+        for part in np.unique(parts):  # one, but where the number of partitions was changed
+            rows = every.take(pa.array(np.flatnonzero(parts == part))) if (parts != part).any() else every
+            kind, size = rows["kind"].to_numpy(), rows["size"].to_numpy().astype(np.int64)
+            order = np.lexsort((kind, -size))
+            gaps, taken, wanting, offered = brackets(kind[order] == 0)
+            seq = rows["seq"].to_numpy()
+            gaps, taken, wanting, offered = order[gaps], order[taken], order[wanting], order[offered]
+            after = size[gaps] - size[taken]
+            some = after > 0
+            at = np.concatenate([taken, wanting, offered, gaps[some]])
+            sizes = [len(taken), len(wanting), len(offered), int(some.sum())]
+            role = np.repeat([PLACED, PIECE, GAP, CHANGED], sizes)
+            rank = np.concatenate([np.zeros(sizes[0], np.int64), np.arange(sizes[1]), np.arange(sizes[2]), np.zeros(sizes[3], np.int64)])
+            offset = np.concatenate([capacity - size[gaps], np.zeros(sum(sizes[1:]), np.int64)])
+            columns = [np.full(len(at), part, np.int32), role.astype(np.int32), rank, offset, np.concatenate([size[taken], size[wanting], size[offered], after[some]]).astype(np.int32), np.concatenate([seq[gaps], seq[wanting], seq[offered], seq[gaps[some]]])]
+            rest = rows.select(["doc_id", "piece", "start", "ids_crc32"]).take(pa.array(at)).combine_chunks()
+            out = pa.Table.from_arrays([*map(pa.array, columns), *rest.columns], [x.split(" ")[0] for x in SWEPT.split(", ")])
+            yield from out.to_batches(100_000)
+
+    dealt = state.mapInArrow(deal, f"k int, part int, {STATE}").repartition(n, "k").drop("k")
+    swept = scratch.save(dealt.mapInArrow(match, SWEPT), f"swept{step}")
+    left = [[0, 0] for _ in range(n)]
+    for r in swept.where(F.col("role").isin(PIECE, GAP)).groupBy("part", "role").count().collect():  # two numbers a range
+        left[r.part][r.role - PIECE] = r["count"]
+    runs, kept = between([tuple(x) for x in left])
+    placed = swept.where(F.col("role") == PLACED)
+    if not runs:
+        return placed, _state(swept.where(F.col("role") != PLACED))
+    table = np.array(sorted(runs), np.int64)
+    start = (table[:, 0] << 40) + table[:, 1]
+
+    def where_to(batches):
+        """Adds the range and rank of the gap that a piece takes, -1 if none."""
+        for batch in batches:
+            part, rank = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False)
+            at = np.maximum(np.searchsorted(start, (part << 40) + rank, "right") - 1, 0)
+            run = table[at]
+            found = (run[:, 0] == part) & (rank >= run[:, 1]) & (rank < run[:, 2])
+            of, which = np.where(found, run[:, 3], -1), np.where(found, run[:, 4] - 1 - (rank - run[:, 1]), -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of.astype(np.int32)), pa.array(which)], [*batch.schema.names, "of", "which"])
+
+    limit = np.zeros(n, np.int64)
+    for part, rest in kept.items():
+        limit[part] = rest
+
+    def offered(batches):
+        """Adds whether a gap is taken."""
+        for batch in batches:
+            part, rank = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank >= limit[part])], [*batch.schema.names, "taken"])
+
+    wanting = swept.where(F.col("role") == PIECE).mapInArrow(where_to, f"{SWEPT}, of int, which long")
+    gaps = swept.where(F.col("role") == GAP).mapInArrow(offered, f"{SWEPT}, taken boolean")
+    side = gaps.where("taken").select(F.col("part").alias("of"), F.col("rank").alias("which"), F.col("size").alias("free"), F.col("seq").alias("to"))
+    met = scratch.save(wanting.where("of >= 0").join(side, ["of", "which"]), f"met{step}")
+    row = [x.split(" ")[0] for x in SWEPT.split(", ")]
+    placed = placed.unionByName(met.withColumn("role", F.lit(PLACED)).withColumn("offset", (capacity - F.col("free")).cast("long")).withColumn("seq", F.col("to")).select(*row))
+    changed = met.where("free > size").withColumn("role", F.lit(CHANGED)).withColumn("size", F.col("free") - F.col("size")).withColumn("seq", F.col("to")).select(*row)
+    rest = swept.where(F.col("role") == CHANGED).unionByName(changed).unionByName(wanting.where("of < 0").select(*row)).unionByName(gaps.where("NOT taken").select(*row))
+    return placed, _state(rest)
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    return rows.select(F.when(F.col("role") == PIECE, 1).otherwise(0).alias("kind"), "size", "seq", "doc_id", "piece", "start", "ids_crc32")
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,20 +281,29 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     spec = Path(tokenizer_path or default_tokenizer()).read_text()  # on the driver; executors get it as a broadcast
-    all_ = scratch.save(pieces(docs, spec, capacity, id_col, text_col), "pieces")
-    by_task = scratch.save(all_.groupBy("length", "shard").agg(F.count("*").alias("n")), "counts")
-    counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    runs, _ = sweep(counts, capacity)
-    shared = spark.sparkContext.broadcast(runs)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = all_.join(by_task.select("length", "shard", before.alias("before")), ["length", "shard"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
-
-    def place(batches):
-        runs = shared.value
-        key = (runs[:, 0] << 45) + runs[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
-            at = np.searchsorted(key, (length << 45) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(runs[at, 2] + rank - runs[at, 1]), pa.array(runs[at, 3])], list("abcdefg"))
-
-    return ranked.mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    state = scratch.save(pieces(docs, spec, capacity, id_col, text_col), "pieces")
+    opened, step, before, done = 0, 0, None, []
+    while True:
+        counts = {(r.kind, r["size"]): r["count"] for r in state.groupBy("kind", "size").count().collect()}  # 2 * capacity rows at most
+        left = sum(n for (kind, _), n in counts.items() if kind == 1)
+        if not left:
+            break
+        # New sequences: to begin with, as many as the tokens fill; later, when few pieces find a gap.
+        if before is None or 10 * (before - left) < before:
+            tokens, large = (sum(f(size) * n for (kind, size), n in counts.items() if kind == 1) for f in (lambda x: x, lambda x: 2 * x > capacity))
+            more = max(-(-tokens // capacity), large, -(-left // 6) if before else 0)
+            fresh = spark.range(opened, opened + more, numPartitions=max(1, more // RANGE_ROWS)).select(F.lit(0).alias("kind"), F.lit(capacity).alias("size"), F.col("id").alias("seq"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "piece", "start", "ids_crc32")))
+            state = state.unionByName(fresh)
+            counts[0, capacity] = counts.get((0, capacity), 0) + more
+            opened += more
+        before = left
+        placed, state = _sweep(state, counts, capacity, scratch, step)
+        done.append(placed)
+        step += 1
+    columns = ("doc_id", "piece", "start", F.col("size").cast("long").alias("length"), "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
+    if not done:
+        return state.select("doc_id", "piece", "start", F.col("size").cast("long").alias("length"), "ids_crc32", F.col("seq").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.select(*columns)

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from tabulon.llm import packing
@@ -49,20 +50,68 @@ def test_words_coded_alone_equal_the_whole_text():
         assert list(np.frombuffer(coder.encode(text.encode()), "<u4")) == tk.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_sweep_matches_row_by_row_best_fit():
-    rng = random.Random(2)
-    for capacity in (10, 64):
-        counts = {n: rng.randint(1, 40) for n in range(1, capacity + 1) if rng.random() < 0.7}
-        runs, used = packing.sweep(counts, capacity)
-        gaps = []
-        for n in sorted(counts, reverse=True):
-            for _ in range(counts[n]):
-                fit = min((g for g in gaps if g >= n), default=None)
-                if fit is None:
-                    gaps.append(capacity - n)
-                else:
-                    gaps[gaps.index(fit)] -= n
-        assert used == len(gaps)
+def test_brackets_are_best_fit_row_by_row():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        size, gap = rng.integers(1, 12, 30), rng.random(30) < 0.5
+        order = np.lexsort((~gap, -size))
+        size, gap = size[order], gap[order]
+        gaps, pieces, wanting, offered = packing.brackets(gap)
+        free = {int(i): int(size[i]) for i in np.flatnonzero(gap)}
+        want = {}
+        for i in np.flatnonzero(~gap):  # the largest piece first takes the least gap that holds it
+            fit = min((s for s in free.values() if s >= size[i]), default=None)
+            if fit is not None:
+                del free[next(k for k, s in free.items() if s == fit)]
+                want[int(i)] = fit
+        assert {int(p): int(size[g]) for g, p in zip(gaps, pieces, strict=True)} == want
+        assert set(wanting.tolist()) == set(np.flatnonzero(~gap).tolist()) - want.keys()
+        assert len(offered) == len(free) and sorted(size[offered]) == sorted(free.values())
+    assert all(len(x) == 0 for x in packing.brackets(np.zeros(0, bool)))
+
+
+def test_ranges_settled_by_rank_equal_one_range():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        size, gap = rng.integers(1, 30, 60), rng.random(60) < rng.random()
+        order = np.lexsort((~gap, -size))
+        size, gap = size[order], gap[order]
+        want = sorted((int(size[p]), int(size[g])) for g, p in zip(*packing.brackets(gap)[:2], strict=True))
+        cuts = np.sort(rng.choice(61, 4))
+        found, left, local = [], [], []
+        for a, b in zip([0, *cuts], [*cuts, 60], strict=True):
+            gaps, pieces, wanting, offered = packing.brackets(gap[a:b])
+            found += [(int(size[a + p]), int(size[a + g])) for g, p in zip(gaps, pieces, strict=True)]
+            left.append((len(wanting), len(offered)))
+            local.append((a + wanting, a + offered))
+        runs, kept = packing.between(left)
+        for part, first, last, of, n in runs:
+            found += [(int(size[local[part][0][k]]), int(size[local[of][1][n - 1 - (k - first)]])) for k in range(first, last)]
+        assert sorted(found) == want
+        assert sum(kept.values()) + len(found) == gap.sum()
+
+
+@pytest.mark.parametrize("capacity", [7, 64])
+def test_many_ranges_round_trip_and_fill(spark, monkeypatch, capacity):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 37)
+    rng = random.Random(4)
+    texts = [(i, "a " * rng.choice([1, 3, 3, 3, capacity // 2, rng.randint(0, 3 * capacity)])) for i in range(600)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), capacity=capacity).collect()
+    used, _ = check(rows, texts, capacity)
+    gaps = []  # best fit, one piece after the other, the largest first
+    for n in sorted((r.length for r in rows), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(capacity - n)
+        else:
+            gaps[gaps.index(fit)] -= n
+    assert used <= 1.03 * len(gaps) + 2
+
+
+def test_large_pieces_open_their_own_sequences(spark):
+    texts = [(i, "a " * (40 + i % 5)) for i in range(100)]
+    used, _ = check(packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), capacity=64).collect(), texts, 64)
+    assert used == 100
 
 
 def test_edge_cases(spark):
