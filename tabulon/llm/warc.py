@@ -6,18 +6,18 @@ revisit that a 304 may update.
 
 The as-of join runs on two levels, so that one URL that holds a third of all records is not one task: within (URL, time bucket) a
 window carries the last response forward; over the buckets of a URL, at most BUCKETS rows, a second window carries each bucket's last
-response on. Payloads take no part; only ids, validators and headers are shuffled.
+response on. Buckets are cut at quantiles of all times, so neither a burst nor a wrong time fills one. Payloads take no part; only ids,
+validators and headers are shuffled.
 
 Defined results: a response is full if its status is null or 200, and others (errors, redirects, parts, stored 304s) are passed over, as
 if absent; a null or empty URL, or no earlier response, gives `orphan`; validators that both sides have and that differ give
-`mismatch`; no validator on both sides gives `unvalidated`; ties in time go by record id; repeated records resolve alike; payload
+`mismatch`; no validator on both sides gives `unvalidated`; ties in time go by record id; of header fields whose names differ in case
+only, the last counts; repeated records resolve alike; payload
 columns and other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -53,6 +53,21 @@ def _agrees(a: Column, b: Column, weak: bool = False) -> Column:
     return a == b
 
 
+def _bucket(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are below x, by halving."""
+    if not cuts:
+        return F.lit(0)
+    half = len(cuts) // 2
+    return F.when(x > F.lit(cuts[half]), F.lit(half + 1) + _bucket(x, cuts[half + 1 :])).otherwise(_bucket(x, cuts[:half]))
+
+
+def lowered(headers: Column) -> Column:
+    """A map of header fields by names in lower case; of names that differ in case only, the last entry's value."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == k), -1)["value"]))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """Revisits among records (record_id, url, ts, kind `response` or `revisit`, etag, last_modified, digest, headers map; status if they have it) with what they stand for.
 
@@ -60,16 +75,18 @@ def resolve(records: DataFrame) -> DataFrame:
     ts: any ordered number.
     """
     info = F.struct("record_id", "etag", "last_modified", "digest", "headers")
-    whole = F.col("kind") == "response"
+    ts = F.col("ts").cast("double")
+    ts = F.when(~F.isnan(ts), ts)
+    whole = (F.col("kind") == "response") & ts.isNotNull()
     if "status" in records.columns:
         whole = whole & (F.col("status").isNull() | (F.col("status") == FULL))
     rows = records.select(
-        "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("double").alias("ts"),
+        "record_id", canonical_url(F.col("url")).alias("canonical_url"), ts.alias("ts"),
         F.when(whole, info).alias("full"), F.when(F.col("kind") == "revisit", info).alias("own"),
     )
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    span = max(((high or 0) - (low or 0)) / BUCKETS, 1e-9)
-    keyed = rows.where(F.col("canonical_url").isNotNull()).withColumn("bucket", F.floor((F.col("ts") - F.lit(low or 0.0)) / span))
+    cuts = rows.agg(F.percentile_approx("ts", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS)).first()[0] or []
+    dated = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    keyed = rows.where(dated).withColumn("bucket", _bucket(F.col("ts"), sorted(set(cuts))))
     near = Window.partitionBy("canonical_url", "bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("local", F.last("full", ignorenulls=True).over(near)).where(F.col("own").isNotNull())
     ends = keyed.where(F.col("full").isNotNull()).groupBy("canonical_url", "bucket").agg(F.max_by("full", F.struct("ts", "record_id")).alias("full"))
@@ -80,13 +97,12 @@ def resolve(records: DataFrame) -> DataFrame:
     carried = steps.withColumn("carried", F.last("full", ignorenulls=True).over(before)).where(F.col("carried").isNotNull()).select("canonical_url", "bucket", "carried")
     found = local.join(carried, ["canonical_url", "bucket"], "left").withColumn("full", F.coalesce("local", "carried"))
     found = found.select("record_id", "canonical_url", "own", "full")
-    lost = rows.where(F.col("canonical_url").isNull() & F.col("own").isNotNull()).select("record_id", "canonical_url", "own", F.lit(None).cast(found.schema["full"].dataType).alias("full"))
+    lost = rows.where(~dated & F.col("own").isNotNull()).select("record_id", "canonical_url", "own", F.lit(None).cast(found.schema["full"].dataType).alias("full"))
     every = found.union(lost)
     a, b = F.col("own"), F.col("full")
     valid = F.coalesce(_agrees(a["etag"], b["etag"], weak=True), _agrees(a["last_modified"], b["last_modified"]), _agrees(a["digest"], b["digest"]))
     resolution = F.when(b.isNull(), "orphan").when(valid.isNull(), "unvalidated").when(valid, "resolved").otherwise("mismatch")
-    lower = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
-    stored, update = lower(b["headers"]), F.map_filter(lower(a["headers"]), lambda k, _: k.isin(*PERMITTED))
+    stored, update = lowered(b["headers"]), F.map_filter(lowered(a["headers"]), lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter(stored, lambda k, _: ~F.coalesce(F.map_contains_key(update, k), F.lit(False)))
     merged = F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), F.coalesce(update, F.create_map().cast("map<string,string>")))
     return every.select("record_id", "canonical_url", b["record_id"].alias("refers_to"), resolution.alias("resolution"), F.when(resolution == "resolved", merged).alias("headers"))
@@ -109,90 +125,69 @@ def records_of_pages(pages: DataFrame, lag: int = 1000) -> DataFrame:
 
 
 RECORD = "uri string, url string, ts double, kind string, status int, etag string, last_modified string, digest string, headers map<string,string>, payload binary"
-#: Bytes that are decompressed at once.
-_PIECE = 1 << 20
-
-
-def _plain(data: bytes) -> Iterator[bytes]:
-    """Pieces of a file's bytes; gzip files hold one member for each record."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    at, member = 0, zlib.decompressobj(31)
-    while at < len(data) or member.unconsumed_tail:
-        given = member.unconsumed_tail or data[at : at + _PIECE]
-        at += 0 if member.unconsumed_tail else len(given)
-        if out := member.decompress(given, _PIECE):
-            yield out
-        if member.eof:
-            at -= len(member.unused_data)
-            member = zlib.decompressobj(31)
+#: Fixed value: what stands between two records of a file.
+BETWEEN = "\r\n\r\nWARC/1."
+#: Kind of the rows that stand for records that cannot be read.
+BAD = "bad"
 
 
 def _head(block: bytes) -> tuple[str, dict[str, str]]:
-    """First line and fields; of a repeated field the last value."""
+    """First line and fields, by names in lower case; of a repeated field the last value."""
     first, *lines = block.decode("utf-8", "replace").split("\r\n")
-    return first, {k.strip(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
-
-
-def parse(data: bytes) -> Iterator[tuple]:
-    """Response and revisit records of a WARC file as rows of RECORD. A file that ends inside a record ends with the one before."""
-    held, pieces, more = b"", _plain(data), True
-
-    def fill(n: int) -> bool:
-        nonlocal held, more
-        got, size = [held], len(held)
-        while size < n and more:
-            piece = next(pieces, None)
-            more = piece is not None
-            got.append(piece or b"")
-            size += len(got[-1])
-        held = b"".join(got)
-        return size >= n
-
-    while True:
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if not fill(len(held) + 1):
-                return
-        _, fields = _head(held[:end].lstrip(b"\r\n"))
-        warc = {k.lower(): v for k, v in fields.items()}
-        size = int(warc.get("content-length") or 0)
-        if not fill(end + 4 + size):
-            return
-        block, held = held[end + 4 : end + 4 + size], held[end + 4 + size :].lstrip(b"\r\n")
-        kind = warc.get("warc-type")
-        if kind not in ("response", "revisit"):
-            continue
-        http, _, payload = block.partition(b"\r\n\r\n")
-        line, headers = _head(http)
-        low = {k.lower(): v for k, v in headers.items()}
-        status = int(line.split(" ")[1]) if line.startswith("HTTP/") and line.split(" ")[1:2] and line.split(" ")[1].isdigit() else None
-        try:
-            ts = datetime.fromisoformat(warc["warc-date"]).astimezone(UTC).timestamp()
-        except (KeyError, ValueError):
-            ts = None
-        yield (warc.get("warc-record-id"), warc.get("warc-target-uri"), ts, kind, status, low.get("etag"), low.get("last-modified"), warc.get("warc-payload-digest"), list(headers.items()), payload if kind == "response" else None)
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files (plain or gzip) as resolve() takes them, with uri, status and payload besides. A file is one task's work; record_id is a hash of the record's URI."""
+    return first, {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+
+
+def parse(record: bytes) -> tuple | None:
+    """A record's bytes as a row of RECORD; None if it is neither a response nor a revisit. A record without a length that is a number, or with
+    fewer bytes than that, gives a row of kind BAD."""
+    record = record.lstrip(b"\r\n")
+    if not record:
+        return None
+    head, _, block = record.partition(b"\r\n\r\n")
+    _, warc = _head(head)
+    bad = (warc.get("warc-record-id"), warc.get("warc-target-uri"), None, BAD, None, None, None, None, None, None)
+    kind, size = warc.get("warc-type"), warc.get("content-length", "")
+    if not (size.isascii() and size.isdigit()) or len(block) < int(size):
+        return bad
+    if kind not in ("response", "revisit"):
+        return None if kind else bad
+    http, _, payload = block[: int(size)].partition(b"\r\n\r\n")
+    line, headers = _head(http)
+    status = int(line.split(" ")[1]) if line.startswith("HTTP/") and line.split(" ")[1:2] and line.split(" ")[1].isdigit() else None
+    try:
+        ts = datetime.fromisoformat(warc["warc-date"])
+        ts = (ts if ts.tzinfo else ts.replace(tzinfo=UTC)).timestamp()
+    except (KeyError, ValueError):
+        ts = None
+    return (*bad[:2], ts, kind, status, headers.get("etag"), headers.get("last-modified"), warc.get("warc-payload-digest"), list(headers.items()), payload if kind == "response" else None)
+
+
+def read_records(spark: SparkSession, path: str, bad: bool = False) -> DataFrame:
+    """Records of WARC files (plain or gzip) as resolve() takes them, with uri, status and payload besides; record_id is a hash of the record's URI.
+
+    Spark's reader cuts files at BETWEEN and hands over a record at a time: no file is held whole, and a plain file is several tasks' work.
+    Records that cannot be read are left out, or with `bad` rows of kind BAD, so that they can be counted; a payload that holds BETWEEN
+    is one. A gzip file that is damaged, or padded behind its last member, ends there: the records before are read, but for the one that
+    stands next to it, whose end is not seen.
+    """
 
     def run(batches):
         kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
-        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f"c{i}" for i in range(len(kinds))])
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for row in parse(content.as_py()):
+            rows, size = [], 0
+            for record in batch.column(0):
+                if (row := parse(record.as_py())) is not None:
                     rows.append(row)
-                    if len(rows) == 256:
-                        yield flush(rows)
-                        rows = []
-                if rows:
-                    yield flush(rows)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, RECORD).withColumn("record_id", F.xxhash64("uri"))
+                    size += len(row[-1] or b"")
+                if rows and (size > 16 << 20 or len(rows) == 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f"c{i}" for i in range(len(kinds))])
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f"c{i}" for i in range(len(kinds))])
+
+    files = spark.read.option("lineSep", BETWEEN).option("ignoreCorruptFiles", "true").text(path).select(F.col("value").cast("binary").alias("record"))
+    found = files.mapInArrow(run, RECORD)
+    return (found if bad else found.where(F.col("kind") != BAD)).withColumn("record_id", F.xxhash64("uri"))
 
 
 def headers_text(headers: Column) -> Column:

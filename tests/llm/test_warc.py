@@ -90,3 +90,55 @@ def test_other_responses_in_between_are_passed_over(spark, status):
     df = spark.createDataFrame([(*r, None, None, None) for r in rows], "record_id long, url string, ts double, kind string, status int, etag string, last_modified string, digest string, headers map<string,string>")
     got = {r.record_id: (r.resolution, r.refers_to) for r in warc.resolve(df).collect()}
     assert got == {3: ("resolved", 1), 5: ("resolved", 4), 7: ("orphan", None)}
+
+
+COLUMNS = "record_id long, url string, ts double, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+
+
+def test_field_names_that_differ_in_case_only(spark):
+    rows = [(1, "http://a.b", 1.0, "response", '"x"', None, None, ["ETag", "etag", "X"], ["old", "new", "1"]), (2, "http://a.b", 2.0, "revisit", '"x"', None, None, ["Date", "date", "DATE"], ["a", "b", "c"])]
+    df = spark.createDataFrame(rows, COLUMNS.replace("headers map<string,string>", "k array<string>, v array<string>")).withColumn("headers", F.map_from_arrays("k", "v"))
+    (got,) = warc.resolve(df).collect()
+    assert got.resolution == "resolved" and got.headers == {"etag": "new", "x": "1", "date": "c"}
+
+
+def test_records_without_a_time(spark):
+    nan = float("nan")
+    rows = [(1, "http://a.b", None, "response", '"x"'), (2, "http://a.b", 2.0, "revisit", '"x"'), (3, "http://a.b", None, "revisit", '"x"'), (4, "http://a.b", 3.0, "response", '"x"'), (5, "http://a.b", 4.0, "revisit", '"x"'), (6, "http://a.b", nan, "revisit", '"x"'), (7, "http://a.b", nan, "response", '"x"')]
+    got = {r.record_id: (r.resolution, r.refers_to, r.canonical_url) for r in warc.resolve(spark.createDataFrame([(*r, None, None, None) for r in rows], COLUMNS)).collect()}
+    assert got == {2: ("orphan", None, "a.b"), 3: ("orphan", None, "a.b"), 5: ("resolved", 4, "a.b"), 6: ("orphan", None, "a.b")}
+
+
+def test_one_wrong_time_and_a_burst_leave_buckets_even(spark):
+    rows = [(i, "http://hot.example/", 1e9 + i / 1000, "response" if i % 3 else "revisit", '"x"', None, None, None) for i in range(3000)] + [(9999, "http://other.example/", 0.0, "response", None, None, None, None), (9998, "http://other.example/", 4e18, "response", None, None, None, None)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    cuts = sorted(set(df.agg(F.percentile_approx("ts", [i / warc.BUCKETS for i in range(1, warc.BUCKETS)], 10 * warc.BUCKETS)).first()[0]))
+    sizes = [r["count"] for r in df.groupBy(warc._bucket(F.col("ts"), cuts)).count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 60
+    got = {r.record_id: r.refers_to for r in warc.resolve(df).collect()}
+    assert got == {i: i - 1 if i else None for i in range(0, 3000, 3)}
+
+
+def test_damaged_files_do_not_end_the_job(spark, tmp_path):
+    good = [record("response", f"<{i}>", "http://a.b/c", "2024-01-01T00:00:00", "HTTP/1.1 200 OK\nETag: q\netag: r", b"pay") for i in range(3)]
+    wrong = record("response", "<w>", "http://a.b/w", "yesterday", "HTTP/1.1 200 OK").replace(b"Content-Length: ", b"Content-Length: x")
+    (tmp_path / "a.warc").write_bytes(good[0] + wrong + good[1])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good[2]) + gzip.compress(good[2].replace(b"<2>", b"<3>")) + b"\0" * 512)
+    (tmp_path / "c.warc").write_bytes(b"")
+    rows = warc.read_records(spark, str(tmp_path))
+    assert {r.uri: bytes(r.payload) for r in rows.collect()} == {f"<{i}>": b"pay" for i in range(3)}
+    assert {r.headers["etag"] for r in rows.collect()} == {"r"} and {r.ts for r in rows.collect()} == {1704067200.0}
+    every = warc.read_records(spark, str(tmp_path), bad=True)
+    assert [r.uri for r in every.where(F.col("kind") == warc.BAD).collect()] == ["<w>"]
+
+
+def test_a_large_file_is_read_by_records(spark, tmp_path):
+    payload = bytes(range(256)) * 40  # not UTF-8
+    (tmp_path / "big.warc").write_bytes(b"".join(record("response", f"<{i}>", "http://a.b/c", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK", payload) for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        rows = warc.read_records(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 8
+        assert rows.select(F.count("*"), F.count_distinct("uri"), F.min(F.length("payload")), F.count_distinct("payload")).first() == (2000, 2000, len(payload), 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
