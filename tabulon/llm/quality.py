@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ._text import LOWER, NOT_SPACE, byte_class, mix, slices, span_hashes, words
 
-#: Most labelled rows to learn from: those of least hash of their doc_id.
+#: Most rows to learn from: those of least hash of their doc_id, however often ids and labels repeat.
 SAMPLE_ROWS = 20_000
 ROUNDS, DEPTH, BINS = 24, 3, 32
 KEEP_FROM = 0.7
@@ -240,13 +240,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(own), "doc_id").select("doc_id", "label", "text")  # sample_rows rows of two numbers
-    rows = with_stats(joined).drop("text").orderBy("doc_id", "label", *(f"_q_{s}" for s in STATS)).toPandas()
-    return learn(rows[[f"_q_{s}" for s in STATS]].to_numpy(float).reshape(-1, len(STATS)), rows["label"].to_numpy(float))
+    # Ids and labels may repeat, so the rows are bounded once more; in one order, whatever order they come in.
+    names = [f"_q_{s}" for s in STATS]
+    rows = with_stats(joined).drop("text").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *names).limit(sample_rows).toArrow()
+    x = np.stack([rows[n].to_numpy() for n in names], axis=1) if rows.num_rows else np.zeros((0, len(STATS)))
+    return learn(x, rows["label"].to_numpy())
 
 
 def fold(doc_id: Column, parts: int = 4, held: int = 2) -> Column:
-    """Whether a document is held out: crc32 of its id as text, by remainder."""
-    return F.crc32(doc_id.cast("string")) % parts == held
+    """Whether a document is held out: crc32 of its id as text, by remainder. Without an id it is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % parts == held, F.lit(False))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
