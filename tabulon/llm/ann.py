@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import one_to_one
+
 #: Most vectors that trees are fitted to and recall is measured on: those of least hash of their id.
 SAMPLE_ROWS = 16_384
 TREES = 8
@@ -198,8 +200,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     parts = max(1, min(forest.leaves, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * trees * dim * 8 // PART_BYTES)))
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample: trees x SAMPLE_ROWS / 4 splits
 
+    keys = one_to_one(parts)  # a task for each part
+
     def part_of(leaf: np.ndarray) -> np.ndarray:
-        return leaf * parts // shared.value.leaves
+        return keys[leaf * parts // shared.value.leaves]
 
     names = ["part", "kind", "leaf", "leaves", "id", "vec"]
 
