@@ -93,15 +93,18 @@ class CountMin:
         self.rows = sum(n for (d, _), n in self.cells.items() if d == 0)
         self.spark = table.sparkSession
 
-    def query(self, *values) -> list[int]:
-        """Estimated counts: least over rows, or the median without the noise of other values if that is less."""
+    def query(self, *values, clean: bool = True) -> list[int]:
+        """Estimated counts: least over rows, which is never below the true one; with `clean` the median without the noise of other values if that is less."""
         df = self.spark.createDataFrame([(i, str(v)) for i, v in enumerate(values)], "i int, v string")
         places = df.select("i", *(F.pmod(F.xxhash64("v", F.lit(d)), F.lit(self.width)).alias(f"w{d}") for d in range(self.depth))).orderBy("i").collect()
         out = []
         for r in places:
             found = [self.cells.get((d, r[f"w{d}"]), 0) for d in range(self.depth)]
-            clean = sorted(n - (self.rows - n) // (self.width - 1) for n in found)
-            out.append(max(0, min(min(found), clean[self.depth // 2])))
+            if not clean:
+                out.append(min(found))
+                continue
+            medians = sorted(n - (self.rows - n) // (self.width - 1) for n in found)
+            out.append(max(0, min(min(found), medians[self.depth // 2])))
         return out
 
 

@@ -36,6 +36,15 @@ def _spark(name: str, *kinds: str):
     return lambda c, *xs: F.call_function(name, *(x.cast(k) if k else x for x, k in zip(xs, (*kinds, *[""] * len(xs)), strict=False)))
 
 
+def _is_time(c: Compiler, x: Column) -> bool:
+    return isinstance(c.kind(x), T.DayTimeIntervalType)
+
+
+def _clock(name: str, unit: int, most: int):
+    """Hours, minutes or seconds of a moment or of a time."""
+    return lambda c, x: (F.floor(temporal.interval_seconds(x) / unit) % most).cast("int") if _is_time(c, x) else F.call_function(name, x.cast("timestamp_ntz"))
+
+
 #: Scalar functions by name: (compiler, *argument columns) to a column.
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     # comparison and control
@@ -57,9 +66,9 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "quote": lambda c, x: text.quote(x), "repeat": lambda c, *x: text.repeat(*x), "replace": _spark("replace", "string", "string", "string"), "reverse": _spark("reverse", "string"), "soundex": _spark("soundex", "string"), "space": lambda c, x: text.space(x),
     # dates and times
     "date": lambda c, x: x.cast("date"), "timestamp": lambda c, x: x.cast("timestamp_ntz"), "time": lambda c, x: temporal.time_part(x), "day": _spark("day", "date"), "dayofmonth": _spark("day", "date"), "dayofweek": _spark("dayofweek", "date"), "dayofyear": _spark("dayofyear", "date"), "weekday": _spark("weekday", "date"), "weekofyear": _spark("weekofyear", "date"), "month": _spark("month", "date"), "quarter": _spark("quarter", "date"), "year": _spark("year", "date"), "last_day": _spark("last_day", "date"),
-    "dayname": lambda c, x: F.date_format(x.cast("date"), "EEEE"), "monthname": lambda c, x: F.date_format(x.cast("date"), "MMMM"), "hour": _spark("hour", "timestamp_ntz"), "minute": _spark("minute", "timestamp_ntz"), "second": _spark("second", "timestamp_ntz"), "microsecond": lambda c, x: (F.extract(F.lit("SECOND"), x.cast("timestamp_ntz")) % 1 * 1000000).cast("int"),
+    "dayname": lambda c, x: F.date_format(x.cast("date"), "EEEE"), "monthname": lambda c, x: F.date_format(x.cast("date"), "MMMM"), "hour": _clock("hour", 3600, 1 << 20), "minute": _clock("minute", 60, 60), "second": _clock("second", 1, 60), "microsecond": lambda c, x: (F.extract(F.lit("SECOND"), x.cast("timestamp_ntz")) % 1 * 1000000).cast("int"),
     "datediff": lambda c, a, b: temporal.datediff(a, b), "timediff": lambda c, a, b: temporal.timediff(a, b), "to_days": lambda c, x: temporal.to_days(x), "from_days": lambda c, x: temporal.from_days(x), "to_seconds": lambda c, x: temporal.to_seconds(x), "makedate": lambda c, *x: temporal.makedate(*x), "maketime": lambda c, *x: temporal.maketime(*x), "period_add": lambda c, *x: temporal.period_add(*x), "period_diff": lambda c, *x: temporal.period_diff(*x),
-    "sec_to_time": lambda c, x: temporal.sec_to_time(x), "time_to_sec": lambda c, x: temporal.time_to_sec(x), "yearweek": lambda c, x: temporal.yearweek(x), "addtime": lambda c, a, b: a.cast("timestamp_ntz") + temporal.parse_time(b), "subtime": lambda c, a, b: a.cast("timestamp_ntz") - temporal.parse_time(b),
+    "sec_to_time": lambda c, x: temporal.sec_to_time(x), "time_to_sec": lambda c, x: temporal.interval_seconds(x).cast("long") if _is_time(c, x) else temporal.time_to_sec(x), "yearweek": lambda c, x: temporal.yearweek(x), "addtime": lambda c, a, b: a.cast("timestamp_ntz") + temporal.parse_time(b), "subtime": lambda c, a, b: a.cast("timestamp_ntz") - temporal.parse_time(b),
     "from_unixtime": lambda c, x: F.timestamp_seconds(x).cast("timestamp_ntz"), "unix_timestamp": lambda c, x=None: F.unix_timestamp() if x is None else F.unix_timestamp(x.cast("timestamp")), "convert_tz": lambda c, x, a, b: F.convert_timezone(a, b, x.cast("timestamp_ntz")),
     "curdate": lambda c: F.current_date(), "current_date": lambda c: F.current_date(), "utc_date": lambda c: F.current_date(), "curtime": lambda c: temporal.time_part(temporal.now()), "current_time": lambda c: temporal.time_part(temporal.now()), "utc_time": lambda c: temporal.time_part(temporal.now()),
 }

@@ -318,11 +318,6 @@ def stats_ndv_approx(spark, sf_dir):
     return both.select(((F.abs(F.col("hll") / F.col("n") - 1) < 0.1) & (F.abs(F.col("hpp") / F.col("n") - 1) < 0.15)).alias("close"))
 
 
-@frame()
-def stats_cmsketch(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.length(statistics.count_min("l_partkey")).alias("bytes"))
-
-
 @frame("SELECT c_mktsegment, min(c_custkey) AS sample_key, TRUE AS inside FROM customer GROUP BY c_mktsegment")
 def stats_sample_collector(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -387,12 +382,6 @@ def meta_prepared(spark, sf_dir):
     return Engine(spark, Catalog(spark).load(sf_dir, ("orders",))).prepare("select o_orderkey, o_orderstatus from orders where o_orderkey = ? or o_orderkey = ?").execute(3, 11)
 
 
-@frame("SELECT count(*) > 0 AS has_plan FROM nation")
-def meta_explain(spark, sf_dir):
-    got = Engine(spark, Catalog(spark).load(sf_dir, ("orders",))).execute("explain select o_orderstatus, count(*) from orders where o_orderkey > 5 group by o_orderstatus")
-    return got.agg((F.count_if(F.col("plan").contains("PushedFilters")) > 0).alias("has_plan"))
-
-
 @frame("SELECT 7 AS v, 'test' AS d")
 def meta_variables(spark, sf_dir):
     engine = Engine(spark)
@@ -453,3 +442,6 @@ def ext_events_sessions(spark, sf_dir):
 def ext_cdc_latest(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("last_event"), "event_type", "ts", F.lit("upsert").alias("op"))
     return cdc.latest(log, ("user_id",), ("ts", "last_event")).select("user_id", "last_event", "event_type")
+
+
+from . import registry_more  # noqa: E402, F401  (registers more queries)

@@ -28,3 +28,11 @@ def sessions(data: DataFrame, time: str, gap: str, keys: Sequence[str], aggregat
 def deduplicated(data: DataFrame, time: str, keys: Sequence[str], late: str) -> DataFrame:
     """First row of each key within the watermark."""
     return data.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a streaming frame over all that its source has now, appends its rows under `folder` (with its checkpoint) and reads them. A window's
+    row comes once the watermark has passed its end; a later run with the same folder goes on where this one ended."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
