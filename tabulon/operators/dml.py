@@ -24,7 +24,9 @@ def insert(table: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | N
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str], updates: Mapping[str, Callable[[Callable[[str], Column], Callable[[str], Column]], Column]]) -> DataFrame:
-    """INSERT ... ON DUPLICATE KEY UPDATE: rows of a known key change the columns of `updates` (functions of old and new column getters); others are added."""
+    """INSERT ... ON DUPLICATE KEY UPDATE: rows of a known key change the columns of `updates` (functions of old and new column getters); others are added.
+
+    rows must have different keys: a statement's rows that share one are folded first, see `fold`."""
     old = table.select(F.struct(*table.columns).alias("o"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
     new = rows.select(F.struct(*table.columns).alias("n"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
     both = old.join(new, [f"_k{i}" for i in range(len(key))], "full_outer")

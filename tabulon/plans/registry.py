@@ -92,17 +92,6 @@ def point_get_many(spark, sf_dir):
     return scan.point_get(table(spark, sf_dir, "lineitem"), ("l_orderkey",), keys).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@frame("SELECT CAST(least(100, (SELECT count(*) FROM lineitem)) AS BIGINT) AS n, TRUE AS inside")
-def sample_reservoir(spark, sf_dir):
-    got = scan.reservoir(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), 100, seed=7)
-    return got.agg(F.count("*").alias("n"), F.bool_and(F.col("l_quantity").between(1, 50)).alias("inside"))
-
-
-@frame()
-def sample_ratio(spark, sf_dir):
-    return scan.sample(table(spark, sf_dir, "lineitem"), 0.1, seed=3).select("l_orderkey", "l_linenumber")
-
-
 @frame("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 50 ORDER BY o_orderkey LIMIT 20")
 def key_scan_ordered(spark, sf_dir):
     return scan.key_scan(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 50, None, 20)

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import statistics
+from ..operators import scan, statistics
+from ..operators.trace import traced
 from ..shipping import ship
+from ..sources.keyvalue import KeyValue
 from ..sources.tables import Catalog
 from ..streaming import windows
 from .engine import Engine
@@ -269,3 +271,54 @@ def ext_stream_watermark(spark, sf_dir):
     counted = windows.tumbling(stream, "ts", "1 hour", ["event_type"], {"n": F.count("*")}, late="10 minutes")
     out = windows.run_available(counted, f"{Catalog(spark).versions()}/stream-{uuid.uuid4().hex}")
     return out.select(F.col("start").cast(schema["ts"].dataType).alias("start"), "event_type", "n")
+
+
+# Samples, key-value access, row traces
+@frame("SELECT CAST(least(100, (SELECT count(*) FROM lineitem)) AS BIGINT) AS n, TRUE AS inside")
+def sample_reservoir(spark, sf_dir):
+    """A sample of fixed size: all of its rows are the table's."""
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    got = spark.createDataFrame(scan.reservoir(lineitem, 100, seed=7).collect(), lineitem.schema)
+    found = got.join(lineitem, ["l_orderkey", "l_linenumber", "l_quantity"], "left_semi").count()
+    return got.agg(F.count("*").alias("n"), (F.count("*") == F.lit(found)).alias("inside"))
+
+
+@frame("SELECT TRUE AS share, TRUE AS repeatable, TRUE AS inside")
+def sample_ratio(spark, sf_dir):
+    """A tenth of the rows: as many as chance allows, the same ones for one seed, all of them the table's."""
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    n, got = lineitem.count(), sorted(map(tuple, scan.sample(lineitem, 0.1, seed=3).collect()))
+    again = sorted(map(tuple, scan.sample(lineitem, 0.1, seed=3).collect()))
+    inside = spark.createDataFrame(got, lineitem.schema).join(lineitem, lineitem.columns, "left_semi").count() == len(got)
+    return spark.createDataFrame([(abs(len(got) - n / 10) < 5 * (0.09 * n) ** 0.5, got == again, inside)], "share boolean, repeatable boolean, inside boolean")
+
+
+@frame(
+    "SELECT 'n' || n_nationkey AS key, CASE n_nationkey WHEN 3 THEN 'three' ELSE n_name END AS value FROM nation WHERE n_nationkey NOT IN (4, 5) UNION ALL SELECT 'new', 'row'"
+)
+def kv_put_get_delete(spark, sf_dir):
+    """Keys of a table, one put anew, one added, two deleted; then all of them are asked for."""
+    nation = table(spark, sf_dir, "nation")
+    store = KeyValue(spark, nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).cast("binary").alias("key"), F.lit(None).cast("string").alias("field"), F.col("n_name").cast("binary").alias("value")))
+    store.set({b"n3": b"three", b"new": b"row"})
+    store.delete([b"n4", b"n5", b"nowhere"])
+    keys = [f"n{i}".encode() for i in range(30)] + [b"new", b"nowhere"]
+    return spark.createDataFrame([(k.decode(), v.decode()) for k, v in store.get(keys).items()], "key string, value string")
+
+
+@frame("SELECT * FROM (VALUES ('a', '1'), ('b', '3')) AS t(field, value)")
+def kv_hashes(spark, sf_dir):
+    store = KeyValue(spark)
+    store.hset(b"h", {"a": b"1", "b": b"2", "c": b"4"})
+    store.hset(b"h", {"b": b"3"})
+    store.hset(b"other", {"a": b"9"})
+    return spark.createDataFrame([(f, v.decode()) for f, v in store.hget(b"h", ("a", "b", "x")).items()], "field string, value string")
+
+
+@frame("SELECT (SELECT count(*) FROM orders) AS read, (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS kept")
+def trace_rows(spark, sf_dir):
+    """Rows that pass two steps of a plan, counted while it runs."""
+    first, read = traced(table(spark, sf_dir, "orders").select("o_totalprice"), f"read-{uuid.uuid4().hex}")
+    second, kept = traced(first.where("o_totalprice > 100000"), f"kept-{uuid.uuid4().hex}")
+    second.agg(F.sum("o_totalprice")).collect()
+    return spark.createDataFrame([(read.get["rows"], kept.get["rows"])], "read long, kept long")
