@@ -239,37 +239,29 @@ def _sweep(state: DataFrame, counts: dict[tuple[int, int], int], capacity: int,
     if not runs:
         return placed, _state(swept.where(F.col("role") != PLACED))
     table = np.array(sorted(runs), np.int64)
-    start = (table[:, 0] << 40) + table[:, 1]
+    start, limit = (table[:, 0] << 40) + table[:, 1], np.zeros(n, np.int64)
+    for part, rest in kept.items():
+        limit[part] = rest
 
-    def where_to(batches):
-        """Adds the range and rank of the gap that a piece takes, -1 if none."""
+    def settled(batches):
+        """Adds the range and rank of the gap that a piece takes, or that a gap is if it is taken; -1 if none."""
         for batch in batches:
-            part, rank = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy(zero_copy_only=False)
+            part, role, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 2))
             at = np.maximum(np.searchsorted(start, (part << 40) + rank, "right") - 1, 0)
             run = table[at]
-            found = (run[:, 0] == part) & (rank >= run[:, 1]) & (rank < run[:, 2])
-            of, which = np.where(found, run[:, 3], -1), np.where(found, run[:, 4] - 1 - (rank - run[:, 1]), -1)
+            wants = (role == PIECE) & (run[:, 0] == part) & (rank >= run[:, 1]) & (rank < run[:, 2])
+            taken = (role == GAP) & (rank >= limit[part])
+            of = np.where(wants, run[:, 3], np.where(taken, part, -1))
+            which = np.where(wants, run[:, 4] - 1 - (rank - run[:, 1]), np.where(taken, rank, -1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of.astype(np.int32)), pa.array(which)], [*batch.schema.names, "of", "which"])
 
-    limit = np.zeros(n, np.int64)
-    for part, rest in kept.items():
-        limit[part] = rest
-
-    def offered(batches):
-        """Adds whether a gap is taken."""
-        for batch in batches:
-            part, rank = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank >= limit[part])], [*batch.schema.names, "taken"])
-
-    wanting = swept.where(F.col("role") == PIECE).mapInArrow(where_to, f"{SWEPT}, of int, which long")
-    gaps = swept.where(F.col("role") == GAP).mapInArrow(offered, f"{SWEPT}, taken boolean")
-    side = gaps.where("taken").select(F.col("part").alias("of"), F.col("rank").alias("which"), F.col("size").alias("free"), F.col("seq").alias("to"))
-    met = scratch.save(wanting.where("of >= 0").join(side, ["of", "which"]), f"met{step}")
+    every = swept.where(F.col("role") != PLACED).mapInArrow(settled, f"{SWEPT}, of int, which long")
+    gaps = every.where(f"of >= 0 AND role = {GAP}").select("of", "which", F.col("size").alias("free"), F.col("seq").alias("to"))
+    met = scratch.save(every.where(f"of >= 0 AND role = {PIECE}").join(gaps, ["of", "which"]), f"met{step}")
     row = [x.split(" ")[0] for x in SWEPT.split(", ")]
     placed = placed.unionByName(met.withColumn("role", F.lit(PLACED)).withColumn("offset", (capacity - F.col("free")).cast("long")).withColumn("seq", F.col("to")).select(*row))
     changed = met.where("free > size").withColumn("role", F.lit(CHANGED)).withColumn("size", F.col("free") - F.col("size")).withColumn("seq", F.col("to")).select(*row)
-    rest = swept.where(F.col("role") == CHANGED).unionByName(changed).unionByName(wanting.where("of < 0").select(*row)).unionByName(gaps.where("NOT taken").select(*row))
-    return placed, _state(rest)
+    return placed, _state(every.where("of < 0").select(*row).unionByName(changed))
 
 
 def _state(rows: DataFrame) -> DataFrame:
