@@ -7,7 +7,8 @@
    so on: gaps are opening brackets, pieces closing ones. What a range leaves is settled between ranges by rank: the first pieces of a
    range take the last gaps of the ranges before it, and meet in a join by range and rank. A gap takes one piece a superstep.
 3. Gaps are updated, and the next superstep places the pieces that found none. When few of them do, new sequences are opened.
-   Each superstep places the largest pieces that fit, so some ten of them place almost all.
+   Each superstep places the largest pieces that fit, so some ten of them place almost all. As soon as ONE_RANGE rows or fewer are
+   left, they are one range, whose task repeats the sweep until all pieces are placed.
 
 The driver holds, for each superstep, counts by size (at most 2 * `capacity`) and two numbers of each range of RANGE_ROWS rows or more.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +36,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces and gaps of a range, and least number of ranges, of a superstep.
 RANGE_ROWS, RANGES = 100_000, 6
+#: Pieces and gaps that one task finishes.
+ONE_RANGE = 30_000
 #: Words and word parts whose ids a worker remembers: this many new ones, and as many before them.
 CACHE_WORDS = 150_000
 CACHE_PARTS = 200_000
@@ -264,10 +268,57 @@ def _sweep(state: DataFrame, counts: dict[tuple[int, int], int], capacity: int,
     return placed, _state(every.where("of < 0").select(*row).unionByName(changed))
 
 
+def opening(sizes: dict[int, int], capacity: int, first: bool) -> int:
+    """New sequences for pieces of these sizes (to their numbers): as many as the tokens fill, or as pieces of over half a sequence need; after
+    the first time, a sixth of the pieces."""
+    tokens, large = sum(size * n for size, n in sizes.items()), sum(n for size, n in sizes.items() if 2 * size > capacity)
+    return max(-(-tokens // capacity), large, 0 if first else -(-sum(sizes.values()) // 6))
+
+
+def finish(size: np.ndarray, gap: np.ndarray, seq: np.ndarray, capacity: int, opened: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sweeps over one range until all pieces are placed: each piece's sequence and offset (0 for gaps). New sequences are numbered from `opened`."""
+    to, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    pieces, free, of = np.flatnonzero(~gap), size[gap].astype(np.int64), seq[gap].astype(np.int64)
+    before = None
+    while len(pieces):
+        if before is not None and 10 * (before - len(pieces)) < before:
+            values, n = np.unique(size[pieces], return_counts=True)
+            more = opening(dict(zip(values.tolist(), n.tolist(), strict=True)), capacity, False)
+            free, of, opened = np.append(free, np.full(more, capacity)), np.append(of, opened + np.arange(more)), opened + more
+        before = len(pieces)
+        both, kind = np.concatenate([free, size[pieces]]), np.repeat([0, 1], [len(free), len(pieces)])
+        order = np.lexsort((kind, -both))
+        gaps, taken, wanting, _ = brackets(kind[order] == 0)
+        gaps, taken, wanting = order[gaps], order[taken] - len(free), order[wanting] - len(free)
+        at = pieces[taken]
+        to[at], offset[at] = of[gaps], capacity - free[gaps]
+        free[gaps] -= size[at]
+        pieces = pieces[wanting]
+        some = free > 0
+        free, of = free[some], of[some]
+    return to, offset
+
+
 def _state(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("role") == PIECE, 1).otherwise(0).alias("kind"), "size", "seq", "doc_id", "piece", "start", "ids_crc32")
 
 
+def _last(state: DataFrame, capacity: int, opened: int) -> DataFrame:
+    """All pieces of a small state, placed."""
+
+    def run(batches):
+        held = [pa.Table.from_batches([b]) for b in batches]
+        if held:
+            rows = pa.concat_tables(held)
+            gap = rows["kind"].to_numpy() == 0
+            size = rows["size"].to_numpy().astype(np.int64)
+            to, offset = finish(size, gap, rows["seq"].to_numpy(), capacity, opened)
+            out = pa.Table.from_arrays([pa.array(offset), pa.array(size.astype(np.int32)), pa.array(to), *(rows[c] for c in ("doc_id", "piece", "start", "ids_crc32"))], ["offset", "size", "seq", "doc_id", "piece", "start", "ids_crc32"])
+            yield from out.filter(pa.array(~gap)).combine_chunks().to_batches(10_000)
+
+    return state.repartition(1).mapInArrow(run, "offset long, size int, seq long, doc_id long, piece long, start long, ids_crc32 long")
+
+
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (all long)."""
     spark = docs.sparkSession
@@ -277,17 +328,24 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     opened, step, before, done = 0, 0, None, []
     while True:
         counts = {(r.kind, r["size"]): r["count"] for r in state.groupBy("kind", "size").count().collect()}  # 2 * capacity rows at most
-        left = sum(n for (kind, _), n in counts.items() if kind == 1)
+        sizes = {size: n for (kind, size), n in counts.items() if kind == 1}
+        left = sum(sizes.values())
         if not left:
             break
+        # Gaps that hold none of the pieces left take no part any more.
+        least = min(sizes)
+        state = state.where((F.col("kind") == 1) | (F.col("size") >= least))
+        counts = {k: n for k, n in counts.items() if k[0] == 1 or k[1] >= least}
         # New sequences: to begin with, as many as the tokens fill; later, when few pieces find a gap.
         if before is None or 10 * (before - left) < before:
-            tokens, large = (sum(f(size) * n for (kind, size), n in counts.items() if kind == 1) for f in (lambda x: x, lambda x: 2 * x > capacity))
-            more = max(-(-tokens // capacity), large, -(-left // 6) if before else 0)
+            more = opening(sizes, capacity, before is None)
             fresh = spark.range(opened, opened + more, numPartitions=max(1, more // RANGE_ROWS)).select(F.lit(0).alias("kind"), F.lit(capacity).alias("size"), F.col("id").alias("seq"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "piece", "start", "ids_crc32")))
             state = state.unionByName(fresh)
             counts[0, capacity] = counts.get((0, capacity), 0) + more
             opened += more
+        if sum(counts.values()) <= ONE_RANGE:
+            done.append(_last(state, capacity, opened))
+            break
         before = left
         placed, state = _sweep(state, counts, capacity, scratch, step)
         done.append(placed)
@@ -295,7 +353,4 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     columns = ("doc_id", "piece", "start", F.col("size").cast("long").alias("length"), "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
     if not done:
         return state.select("doc_id", "piece", "start", F.col("size").cast("long").alias("length"), "ids_crc32", F.col("seq").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select(*columns)
+    return reduce(DataFrame.union, (x.select(*columns) for x in done))

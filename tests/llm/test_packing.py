@@ -91,9 +91,23 @@ def test_ranges_settled_by_rank_equal_one_range():
         assert sum(kept.values()) + len(found) == gap.sum()
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_one_range_is_finished(seed):
+    rng = np.random.default_rng(seed)
+    size, gap = rng.integers(1, 64, 300), rng.random(300) < 0.2
+    seq = np.where(gap, np.cumsum(gap) - 1, 0)
+    to, offset = packing.finish(size, gap, seq, 64, int(gap.sum()))
+    used = {int(seq[i]): 64 - int(size[i]) for i in np.flatnonzero(gap)}
+    for i in sorted(np.flatnonzero(~gap), key=lambda i: (to[i], offset[i])):
+        assert used.setdefault(int(to[i]), 0) == offset[i] and offset[i] + size[i] <= 64
+        used[int(to[i])] += int(size[i])
+    assert len(used) <= gap.sum() + 1.1 * max(0, size[~gap].sum() - size[gap].sum()) / 64 + 12
+
+
 @pytest.mark.parametrize("capacity", [7, 64])
 def test_many_ranges_round_trip_and_fill(spark, monkeypatch, capacity):
     monkeypatch.setattr(packing, "RANGE_ROWS", 37)
+    monkeypatch.setattr(packing, "ONE_RANGE", 40)
     rng = random.Random(4)
     texts = [(i, "a " * rng.choice([1, 3, 3, 3, capacity // 2, rng.randint(0, 3 * capacity)])) for i in range(600)]
     rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), capacity=capacity).collect()
