@@ -1,6 +1,8 @@
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -145,3 +147,31 @@ def test_frequent_shingles_last_give_the_same_groups(spark, monkeypatch):
     assert len(simhash._frequent(docs.selectExpr("doc_id", "cast(text as binary) text"), 5))
     got = {r.doc_id: r.keep_id for r in simhash.similar_groups(docs).collect()}
     assert got == groups([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_groups_at_scale_match_a_search_over_shared_shingles(spark):
+    """All 10,000 texts of sf0.1: the groups are those of every pair that is 0.8 similar, found by counting shared shingles."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    sets = {d: shingles(t) for d, t in rows}
+    having = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            having[x].append(d)
+    shared = Counter()
+    for ids in having.values():
+        if len(ids) > 1:
+            shared.update(combinations(sorted(ids), 2))
+    up = {d: d for d in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    empty = sorted(d for d, s in sets.items() if not s)
+    for a, b in pairs + list(zip(empty, empty[1:], strict=False)):
+        lo, hi = sorted((root(a), root(b)))
+        up[hi] = lo
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: root(d) for d in sets} and len(pairs) > 30
