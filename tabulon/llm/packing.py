@@ -38,9 +38,8 @@ END_ID = 1
 RANGE_ROWS, RANGES = 100_000, 6
 #: Pieces and gaps that one task finishes.
 ONE_RANGE = 30_000
-#: Words and word parts whose ids a worker remembers: this many new ones, and as many before them.
-CACHE_WORDS = 150_000
-CACHE_PARTS = 200_000
+#: Words and word parts whose ids a worker remembers: the first ones that it meets. After FORGET times as many others it begins anew.
+CACHE_WORDS, CACHE_PARTS, FORGET = 300_000, 200_000, 4
 #: Words of ASCII and Latin-1 letters: no apostrophe, no `<`, no combining characters, so they are cut only between letters, single digits and other characters.
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -65,7 +64,7 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.others = 0
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
@@ -90,23 +89,22 @@ class WordCoder:
         return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _missing(self, word: bytes) -> bytes:
-        """Ids of a word that is not among the newer ones."""
+        """Ids of a word that is not remembered."""
         if (ids := self.words.get(word)) is None:
-            ids = self.older.get(word)
-            if ids is None:
-                ids = self._word(word)
-            if len(word) <= 64:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words, self.older = {}, self.words
+            ids = self._word(word)
+            if len(self.words) < CACHE_WORDS and len(word) <= 64:
                 self.words[word] = ids
+            else:
+                self.others += 1
+                if self.others > FORGET * CACHE_WORDS:
+                    self.words, self.others = {}, 0
         return ids
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
         out = list(map(self.words.get, words))
-        for i, ids in enumerate(out):
-            if ids is None:
-                out[i] = self._missing(words[i])
+        for at in [i for i, ids in enumerate(out) if ids is None]:
+            out[at] = self._missing(words[at])
         return b"".join(out)
 
 
