@@ -680,7 +680,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, radius: int = 8) -> DataFrame:
-    """One row of each group of similar_groups: that of the least doc_id; rows of one doc_id are one document."""
+    """One row of each group of similar_groups: that of the least doc_id. Rows of one doc_id are one document: of those the row of the least text
+    stays (null last), whatever order they come in. Rows without an id are kept, as they cannot be told apart."""
     scratch = Scratch(docs.sparkSession, "copies")
     groups = scratch.save(similar_groups(docs, id_col, text_col, k, similarity, radius), "groups")
     lost = groups.where("doc_id <> keep_id").select(F.col("doc_id").alias(id_col)).distinct()
@@ -689,7 +690,14 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not again.limit(1).count():
         return kept
     again = scratch.save(again, "again")
-    return kept.join(_few(again), id_col, "left_anti").select(*docs.columns).unionAll(kept.join(_few(again), id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+    return kept.join(_few(again), id_col, "left_anti").select(*docs.columns).unionAll(_least_text(kept.join(_few(again), id_col, "left_semi").select(*docs.columns), id_col, text_col))
+
+
+def _least_text(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of rows that share an id the one of the least text."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    least = F.min_by(whole, F.struct(F.col(text_col).isNull(), F.col(text_col), F.to_json(whole)))
+    return rows.groupBy(F.col(id_col).alias("_id")).agg(least.alias("_row")).select("_row.*")
 
 
 def _few(ids: DataFrame) -> DataFrame:

@@ -1,5 +1,4 @@
 import random
-import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -175,3 +174,10 @@ def test_groups_at_scale_match_a_search_over_shared_shingles(spark):
         up[hi] = lo
     got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: root(d) for d in sets} and len(pairs) > 30
+
+
+def test_rows_of_one_id_or_none(spark):
+    rows = [(1, "b c", "x"), (1, "a b", "y"), (1, None, "z"), (None, "q", "u"), (None, "q", "v"), (3, "other", "w")]
+    for order in (rows, rows[::-1]):
+        got = simhash.without_near_copies(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted([(1, "a b", "y"), (None, "q", "u"), (None, "q", "v"), (3, "other", "w")], key=repr)
