@@ -322,3 +322,45 @@ def trace_rows(spark, sf_dir):
     second, kept = traced(first.where("o_totalprice > 100000"), f"kept-{uuid.uuid4().hex}")
     second.agg(F.sum("o_totalprice")).collect()
     return spark.createDataFrame([(read.get["rows"], kept.get["rows"])], "read long, kept long")
+
+
+# Definitions
+@frame("SELECT * FROM (VALUES ('id', 'bigint', 'NO', 'PRI', NULL), ('label', 'varchar(9)', 'YES', 'MUL', '''none'''), ('extra', 'int', 'YES', '', '5')) AS t(Field, Type, \"Null\", Key, \"Default\")")
+def ddl_alter(spark, sf_dir):
+    """A table that is created, altered and renamed, as DESC shows it."""
+    engine = Engine(spark)
+    for sql in (
+        "create table a (id bigint not null auto_increment, label varchar(9) default 'none', old int, primary key (id), key ix (label)) engine=x comment='c'",
+        "alter table a add column extra int default 5, drop column old", "rename table a to b", "create unique index ux on b (label, extra)", "drop index ux on b",
+    ):
+        engine.execute(sql)
+    return engine.execute("desc b").select("Field", "Type", "Null", "Key", "Default")
+
+
+@frame("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'none', CAST(5 AS INTEGER)), (2, 'x', 5)) AS t(id, label, extra)")
+def ddl_added_column(spark, sf_dir):
+    """Rows from before a column was added have its default."""
+    engine = Engine(spark)
+    for sql in ("create table a (id bigint not null auto_increment primary key, label varchar(9) default 'none')", "insert into a(id) values (1)", "alter table a add column extra int default 5", "insert into a(label) values ('x')"):
+        engine.execute(sql)
+    return engine.execute("select * from a")
+
+
+@frame("SELECT 'other' AS d, CAST(0 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS before")
+def meta_use(spark, sf_dir):
+    engine = Engine(spark, Catalog(spark).load(sf_dir, ("region",)))
+    before = engine.execute("show tables").count()
+    for sql in ("create database other", "use other"):
+        engine.execute(sql)
+    tables = engine.execute("show tables").count()
+    return engine.execute("select database() as d").select("d", F.lit(tables).cast("long").alias("tables"), F.lit(before).cast("long").alias("before"))
+
+
+@frame("SELECT 'region' AS t, TRUE AS named, TRUE AS keyed")
+def meta_show_create(spark, sf_dir):
+    got = Engine(spark, Catalog(spark).load(sf_dir, ("region",))).execute("show create table region")
+    text = F.col("Create Table")
+    return got.select(F.col("Table").alias("t"), text.contains("`r_name` varchar(255)").alias("named"), text.contains("PRIMARY KEY (`r_regionkey`)").alias("keyed"))
+
+
+statement("scan_index_hint", "SELECT o_orderkey FROM orders USE INDEX (ix) WHERE o_custkey = 7", "SELECT o_orderkey FROM orders WHERE o_custkey = 7")
