@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import ALNUM, LOWER, mix, slices, span_hashes, utf8, words
+from ._text import ALNUM, LOWER, lean, mix, slices, span_hashes, utf8, words
 
 #: k of the k-grams for a guarantee of `window` words; the rest of the window is winnowed.
 GRAM = 6
@@ -230,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *"abcde"])
 
-    return source.mapInArrow(run, SCHEMA)
+    return source.mapInArrow(lean(run), SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -256,7 +256,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                     keep[a + row] = not leaks(spans, int(first[row + 1] - first[row]), window, share)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 #: DuckDB SQL of the registered query.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch, one_to_one
-from ._text import utf8
+from ._text import lean, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, spec: str, capacity: int, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)] if rows else [pa.array([], k) for k in _KINDS], list("abcdefg"))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    return source.mapInArrow(run, STATE)
+    return source.mapInArrow(lean(run), STATE)
 
 
 _KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 5]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import LOWER, NOT_SPACE, byte_class, mix, slices, span_hashes, words
+from ._text import LOWER, NOT_SPACE, byte_class, lean, mix, slices, span_hashes, words
 
 #: Most rows to learn from: those of least hash of their doc_id, however often ids and labels repeat.
 SAMPLE_ROWS = 20_000
@@ -115,7 +115,7 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             stats = np.concatenate(found) if found else np.zeros((0, len(STATS)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[:, j]) for j in range(len(STATS)))], [*batch.schema.names, *(f"_q_{x}" for x in STATS)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{x}", T.DoubleType()) for x in STATS)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *(T.StructField(f"_q_{x}", T.DoubleType()) for x in STATS)]))
 
 
 @dataclass(frozen=True)

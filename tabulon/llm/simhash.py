@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._text import LOWER, NOT_SPACE, mix, slices, span_hashes, utf8, words
+from ._text import LOWER, NOT_SPACE, lean, mix, slices, span_hashes, utf8, words
 from .components import component_roots
 
 #: Seed of the shingle hash.
@@ -494,7 +494,7 @@ def _features(docs: DataFrame, k: int, similarity: float, least: int, frequent:
             parity = pa.ListArray.from_arrays(pa.array(np.arange(0, _PARITY * batch.num_rows + 1, _PARITY, dtype=np.int32)), pa.array(np.concatenate(parities)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in columns), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes))), parity], ["doc_id", "n", "s1", "s2", "fp", "fine", "prefix", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, fp long, fine long, prefix array<long>, parity array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, fp long, fine long, prefix array<long>, parity array<long>")
 
 
 def _buckets(batches):
@@ -587,7 +587,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, s array<long>")
 
 
 def _long_parities(batches):
@@ -638,7 +638,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         q = scratch.save(sets.mapInArrow(_long_parities, "doc_id long, n long, q array<long>"), f"parities_{name}")
         both = edges.join(q.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("q").alias("qx")), "x").join(q.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("q").alias("qy")), "y")
         both = both.select("x", "y", (F.col("nx") + F.col("ny")).alias("n"), "qx", "qy")
-        edges = scratch.save(both.mapInArrow(lambda it: _close(it, similarity), "x long, y long"), f"open_{name}")
+        edges = scratch.save(both.mapInArrow(lean(lambda it: _close(it, similarity)), "x long, y long"), f"open_{name}")
         shared = F.size(F.array_intersect("sx", "sy"))
         good = edges.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y").where(shared >= similarity * (F.size("sx") + F.size("sy") - shared))
         good = scratch.save(good.select(F.col("x").alias("a"), F.col("y").alias("b")), f"good_{name}")
@@ -657,7 +657,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # What shares a shingle of both prefixes, in different groups.
     prefixes = rooted_as(able.select("node", "s1", "s2"), roots).withColumnRenamed("node", "doc_id").join(each.select("doc_id", "s1", "s2", "n", "prefix"), ["doc_id", "s1", "s2"])
     rows = prefixes.select(F.col("doc_id").alias("node"), "root", "n", F.posexplode("prefix").alias("place", "key")).select("key", "node", "root", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
-    met = scratch.save(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _met(it, similarity), "key long, a long, b long, at long"), "met")
+    met = scratch.save(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(lambda it: _met(it, similarity)), "key long, a long, b long, at long"), "met")
     # A node's parities; rows of one doc_id are one document.
     parities = each.select("doc_id", "n", "parity").dropDuplicates(["doc_id"])
     pairs = met.where("b is not null").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
