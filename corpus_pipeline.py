@@ -14,21 +14,31 @@ from tabulon.llm._store import Scratch
 from tabulon.shipping import ship
 
 
+#: Rows of texts that are handed to Python at once, and back: a few megabytes, for executors with little memory.
+BATCH_ROWS = "2000"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the package on its executors, and batches of BATCH_ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return ship(spark)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is at least quality.KEEP_FROM; the rules are learned from labelled rows outside the held-out fold."""
-    model = quality.fit(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"), held_out=quality.fold)
+    model = quality.fit(docs, ready(spark).read.parquet(f"{sf_dir}/labels.parquet"), held_out=quality.fold)
     return quality.scored(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the least doc_id, of each group of documents whose five-word shingle sets are 0.8 similar or more."""
-    ship(spark)
+    ready(spark)
     return simhash.without_near_copies(docs, k=5, similarity=0.8)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no 13 consecutive words of a benchmark item, however long they are; of shorter items, less than a twentieth of their words."""
-    return decontam.without_contaminated(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.without_contaminated(docs, ready(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +49,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows, placed in sequences of 4,096 tokens."""
-    ship(spark)
+    ready(spark)
     return packing.pack(docs)
 
 
