@@ -12,8 +12,8 @@
 
 The driver holds, for each superstep, counts by size (at most 2 * `capacity`) and two numbers of each range of RANGE_ROWS rows or more.
 
-Defined results: null and empty texts are the end token alone; repeated rows are packed each by itself; an empty table gives no rows. A
-tokenizer that is not of the kind that `WordCoder` codes word by word codes whole texts.
+Defined results: null and empty texts are the end token alone; repeated rows are packed each by itself; an empty table gives no rows.
+The tokenizer must be of the default's kind: it lower-cases, cuts at single digits, drops white space and never joins across it.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ END_ID = 1
 RANGE_ROWS, RANGES = 100_000, 6
 #: Pieces and gaps that one task finishes.
 ONE_RANGE = 30_000
-#: Words and word parts whose ids a worker remembers: the first ones that it meets. After FORGET times as many others it begins anew.
-CACHE_WORDS, CACHE_PARTS, FORGET = 300_000, 200_000, 4
+#: Words whose ids a worker remembers, and two thirds as many word parts: the first ones that it meets. After FORGET times as many others it begins anew.
+CACHE_WORDS, FORGET = 300_000, 4
 #: Words of ASCII and Latin-1 letters: no apostrophe, no `<`, no combining characters, so they are cut only between letters, single digits and other characters.
 _PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -58,9 +58,10 @@ def default_tokenizer() -> str:
 class WordCoder:
     """Little-endian 32-bit ids of a text, word by word with a memory. For tokenizers that drop white space and never join across it."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_str(spec)
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[bytes, bytes] = {}
@@ -72,7 +73,7 @@ class WordCoder:
         if (ids := self.parts.get(part)) is None:
             written = part if part.isascii() else part.encode().decode("latin-1").translate(_AS_CHARS)
             ids = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(written)])
-            if len(self.parts) >= CACHE_PARTS:
+            if len(self.parts) >= 2 * self.most // 3:
                 self.parts.clear()
             self.parts[part] = ids
         return ids
@@ -92,11 +93,11 @@ class WordCoder:
         """Ids of a word that is not remembered."""
         if (ids := self.words.get(word)) is None:
             ids = self._word(word)
-            if len(self.words) < CACHE_WORDS and len(word) <= 64:
+            if len(self.words) < self.most and len(word) <= 64:
                 self.words[word] = ids
             else:
                 self.others += 1
-                if self.others > FORGET * CACHE_WORDS:
+                if self.others > FORGET * self.most:
                     self.words, self.others = {}, 0
         return ids
 
@@ -108,11 +109,11 @@ class WordCoder:
         return b"".join(out)
 
 
-def worker_coder(spec: str) -> WordCoder:
+def worker_coder(spec: str, most: int) -> WordCoder:
     """One coder for each Python worker, kept over its tasks."""
-    if (key := hash(spec)) not in _WORKERS:
+    if (key := hash((spec, most))) not in _WORKERS:
         _WORKERS.clear()
-        _WORKERS[key] = WordCoder(spec)
+        _WORKERS[key] = WordCoder(spec, most)
     return _WORKERS[key]
 
 
@@ -120,12 +121,12 @@ def worker_coder(spec: str) -> WordCoder:
 STATE = "kind int, size int, seq long, doc_id long, piece long, start long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, spec: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, spec: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """STATE rows of each document's pieces."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
-        coder = worker_coder(shared.value)
+        coder = worker_coder(shared.value, cache_words)
         end = struct.pack("<I", END_ID)
         for batch in batches:
             rows: list[tuple] = []
@@ -317,12 +318,12 @@ def _last(state: DataFrame, capacity: int, opened: int) -> DataFrame:
     return state.repartition(1).mapInArrow(run, "offset long, size int, seq long, doc_id long, piece long, start long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (all long)."""
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (all long). cache_words: memory of a worker against its time."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     spec = Path(tokenizer_path or default_tokenizer()).read_text()  # on the driver; executors get it as a broadcast
-    state = scratch.save(pieces(docs, spec, capacity, id_col, text_col), "pieces")
+    state = scratch.save(pieces(docs, spec, capacity, id_col, text_col, cache_words), "pieces")
     opened, step, before, done = 0, 0, None, []
     while True:
         counts = {(r.kind, r["size"]): r["count"] for r in state.groupBy("kind", "size").count().collect()}  # 2 * capacity rows at most
