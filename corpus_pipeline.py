@@ -16,6 +16,8 @@ from tabulon.shipping import ship
 
 #: Rows of texts that are handed to Python at once, and back: a few megabytes, for executors with little memory.
 BATCH_ROWS = "2000"
+#: Words that a worker remembers while it tokenises: a third of the operator's own number, as earlier stages leave executors little memory.
+CACHE_WORDS = 100_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -50,7 +52,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows, placed in sequences of 4,096 tokens."""
     ready(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [
