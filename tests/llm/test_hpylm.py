@@ -183,6 +183,48 @@ def test_small_corpus_agrees_with_seating_one_customer_at_a_time(spark, monkeypa
         assert abs(p(of[x], w) - want) < 0.004 + 0.02 * want + 2 * np.std([a, *(r[x, w] for r in runs)])
 
 
+def shared_once():
+    """Two words that a hash of 17 bits gives one restaurant."""
+    seen = {}
+    for i in range(10_000):
+        place = int(hpylm.mix(np.array([code(f"q{i}")]).view(np.uint64))[0]) % (1 << 17)
+        if place in seen:
+            return seen[place], f"q{i}"
+        seen[place] = f"q{i}"
+
+
+def test_every_word_has_a_restaurant_of_its_own(spark):
+    """Contexts that are not frequent words, before words that are (a, b) and that are not (x, y)."""
+    u, v = shared_once()
+    texts = [f"{u} a", f"{v} b", f"{u} x", f"{v} y"] * 6 + ["a b"] * 30
+    asked = [f"{u} a", f"{u} b", f"{v} a", f"{v} b", f"{u} x", f"{u} y", f"{v} x", f"{v} y"]
+    docs = spark.createDataFrame([*enumerate(texts, 100), *enumerate(asked)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in hpylm.score(docs, lambda i: i < 100, frequent=3).collect()}
+    for i in (0, 4):  # log10 of P(a | u) P(b | v) / P(b | u) P(a | v): 0 in one restaurant
+        assert score[i] + score[i + 3] - score[i + 1] - score[i + 2] > 1
+    _, m = hpylm.train(docs.where("doc_id >= 100").select("text"), Scratch(spark, "t"), 3)
+    h = np.array([code(u), code(v), code("never")])
+    context = m.vocabulary.context(m.vocabulary.numbered(h), h)
+    assert len(set(context.tolist())) == 3
+    assert np.allclose(1 / m.inverse[context] - m.theta, [12, 12, 0], rtol=1e-5, atol=1e-5)
+
+
+def test_far_pairs_agree_with_seating_one_customer_at_a_time(spark, monkeypatch):
+    """As above, but of two frequent words only, so that contexts and words that are not exchange what they have drawn."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("a b c d e f".split(), [3, 3, 2, 2, 1, 1], k=rng.randrange(4, 14))) for _ in range(25)]
+    monkeypatch.setattr(hpylm, "CHAINS", 200)
+    monkeypatch.setattr(hpylm, "PASSES", 6)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    model, m = hpylm.train(docs, Scratch(spark, "t"), 2)
+    p = plain_probability(model, m)
+    bigrams = [x for t in texts for x in zip([END, *words(t)], words(t), strict=False)]
+    runs = [seated_one_by_one(bigrams, m.d, m.theta, m.d0, m.theta0, 400, s) for s in range(3)]
+    for (u, w), a in runs[0].items():
+        want = np.mean([r[u, w] for r in runs])
+        assert abs(p(u, w) - want) < 0.004 + 0.02 * want + 2 * np.std([a, *(r[u, w] for r in runs)])
+
+
 def test_invented_words_score_below_prose(spark):
     rng = random.Random(6)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
