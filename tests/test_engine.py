@@ -4,6 +4,7 @@ import time
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.plans.engine import Engine
 from tabulon.plans.parser import SqlError
@@ -304,3 +305,9 @@ def test_prepared_statements_are_parsed_once(engine, monkeypatch):
     p = engine.prepare("select name from t where id = ?")
     monkeypatch.setattr("tabulon.plans.engine.Parser", None)
     assert [p.execute(i).first().name for i in (1, 2)] == ["Tom", "Jack"]
+
+
+def test_explain_rows_keep_their_order(engine):
+    got = engine.execute("explain analyze select id from t where age > 27")
+    assert got.count() > 1 and got.select(F.spark_partition_id()).distinct().count() == 1
+    assert "Exchange" not in got.limit(1).where("count = '5'")._jdf.queryExecution().executedPlan().toString()
