@@ -129,21 +129,39 @@ def _least_hashes(column: str, size: int):
     return run
 
 
-def fm_distinct(table: DataFrame, column: str, max_size: int = 10_000) -> float:
-    """Flajolet-Martin estimate with a doubling mask: hashes whose low bits are zero are kept; 2^bits times their number.
+def _hashes(table: DataFrame, column: str) -> DataFrame:
+    return table.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
+
+
+def _masked(hashes: DataFrame, max_size: int) -> tuple[int, int]:
+    """Bits of the least mask under which max_size different hashes are at most, and their number.
 
     Each task keeps max_size different hashes at most, under a mask of its own; those under the widest mask, or a wider one that all of them
     need, are counted. What is shuffled grows with the tasks, not with the values.
     """
-    hashes = table.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
-    kept = hashes.mapInArrow(_least_hashes(column, max_size), "bits int, h long")
+    kept = hashes.mapInArrow(_least_hashes("h", max_size), "bits int, h long")
     zeros = F.when(F.col("h") == 0, 64).otherwise(F.bit_count(F.col("h").bitwiseAND(-F.col("h")) - 1))
     rows = kept.groupBy("h").agg(F.max("bits").alias("bits")).groupBy(zeros.alias("z")).agg(F.count("*").alias("n"), F.max("bits").alias("bits")).collect()  # 65 rows at most
     bits = max((r.bits for r in rows), default=0)
     count = lambda: sum(r.n for r in rows if r.z >= bits)
     while count() > max_size:
         bits += 1
-    return float((1 << bits) * count())
+    return bits, count()
+
+
+def fm_distinct(table: DataFrame, column: str, max_size: int = 10_000) -> float:
+    """Flajolet-Martin estimate with a doubling mask: hashes whose low bits are zero are kept; 2^bits times their number."""
+    bits, n = _masked(_hashes(table, column), max_size)
+    return float((1 << bits) * n)
+
+
+def fm_exact(table: DataFrame, column: str, max_size: int = 10_000) -> float:
+    """The estimate as long as all hashes fit; where they do not, the hashes of every residue of the mask are counted, not those of one times
+    2^bits: dealt by their value, so what is shuffled then grows with the values. Whole numbers have a hash each (xxhash64 of one number is
+    one to one), so that of them this is the true count."""
+    hashes = _hashes(table, column)
+    bits, n = _masked(hashes, max_size)
+    return float(hashes.distinct().count() if bits else n)
 
 
 def analyze(table: DataFrame, columns: Sequence[str] = (), buckets: int = 256, top: int = 20, sample_rows: int = 10_000, seed: int = 0) -> dict[str, DataFrame]:

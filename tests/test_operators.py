@@ -182,3 +182,12 @@ def test_sample_ratio_leaves_rows_where_they_are(spark, monkeypatch):
     assert run() == [(True, True, False)]
     monkeypatch.setattr(scan, "sample", lambda t, ratio, seed: even(t, 0.2, seed))
     assert run() == [(False, True, True)]
+
+
+def test_fm_exact_beyond_its_size(spark, tmp_path):
+    from tabulon.plans.registry import QUERIES
+
+    spark.range(120_000).selectExpr("id % 5000 as l_orderkey", "id % 40000 as l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r.name: r.n for r in QUERIES["stats_fm_exact_below_its_size"](spark, str(tmp_path)).collect()} == {"few": 40_000, "many": 5_000}
+    df = spark.range(3000).selectExpr("nullif(id % 777, 5) as v")
+    assert statistics.fm_exact(df, "v", 10) == statistics.fm_exact(df, "v", 776) == 776 and statistics.fm_exact(df.limit(0), "v", 10) == 0
