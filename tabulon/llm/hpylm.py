@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch, one_to_one, packed, unpacked
-from ._text import LOWER, NOT_SPACE, mix, slices, span_hashes, utf8, words
+from ._text import LOWER, NOT_SPACE, lean, mix, slices, span_hashes, utf8, words
 
 #: Most frequent words, whose numbers every executor holds.
 FREQUENT = 65_536
@@ -51,8 +51,9 @@ CHAINS, PASSES, INNER = 4, 3, 2
 #: Turns of g and tables, in a pass, of a context that is not a frequent word.
 ROUNDS = 3
 END = np.int64(0x5AFE_E27D_0C0D_E0FF)
-#: Rows that are worked on at once.
-ROWS = 100_000
+#: Rows that are worked on at once, and about how many pairs of them; names of a block.
+ROWS, VALUES = 100_000, 1_000_000
+BLOCK = 20_000
 #: Tokens that a task counts at once: memory against rows sent.
 COUNT_TOKENS = 1_500_000
 #: Customers up to which the number of tables is drawn from the whole table of its weights; beyond, from their limit for many customers.
@@ -214,7 +215,7 @@ def _counted(docs: DataFrame, seen, schema: str) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(utf8("text")).mapInArrow(run, schema)
+    return docs.select(utf8("text")).mapInArrow(lean(run), schema)
 
 
 def _firsts(w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -253,7 +254,7 @@ def _counted_pairs(docs: DataFrame, known, keys: np.ndarray) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(utf8("text")).mapInArrow(run, "k int, kind int, value binary")
+    return docs.select(utf8("text")).mapInArrow(lean(run), "k int, kind int, value binary")
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,6 +281,71 @@ def _lists(first: np.ndarray, values: np.ndarray, kind=None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array((first - first[0]).astype(np.int32)), pa.array(values[first[0] : first[-1]], kind))
 
 
+#: Types of the columns of ROW and MODEL that blocks hold packed; side and crossed are the same in a block's rows, and stay as they are.
+_PACKED = {"w": np.int64, "ctx": np.int32, "cs": np.int64, "ts": np.float32, "nf": np.int32, "customers": float, "tables": float, "n": np.int64, "far": np.int64, "fc": np.int64, "ft": np.float32}
+
+
+def _packed_schema(schema: str) -> str:
+    return ", ".join(f"{x} binary" if x in _PACKED else f"{x} {kind}" for x, kind in (y.split(" ") for y in schema.split(", ")))
+
+
+def _least_type(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if x.dtype.kind == "i" and len(x) and x.min() >= 0 and x.max() < 1 << 32 else x
+
+
+def _blocks(run):
+    """A function that gives batches of ROW or MODEL, to one that gives blocks: a row for BLOCK names of one side, whose columns are packed."""
+
+    def blocks(batches):
+        for whole in run(batches):
+            names, odd = whole.schema.names, [i for i, x in enumerate(whole.schema.names) if x not in _PACKED]
+            flags = [whole.column(i).to_numpy(zero_copy_only=False) for i in odd]
+            code = sum((x.astype(np.int64) << j for j, x in enumerate(flags)), np.zeros(whole.num_rows, np.int64))
+            for value in np.unique(code):
+                same = whole if (code == value).all() else whole.filter(pa.array(code == value))
+                for at in range(0, same.num_rows, BLOCK):
+                    part = same.slice(at, BLOCK)
+                    columns = []
+                    for name, column in zip(names, part.columns, strict=True):
+                        if name not in _PACKED:
+                            columns.append(column.slice(0, 1))
+                        elif pa.types.is_list(column.type):
+                            first, values = _list(column)
+                            columns.append(pa.array([packed(_least_type(values), np.diff(first).astype(np.uint32))], pa.binary()))
+                        else:
+                            columns.append(pa.array([packed(_least_type(column.to_numpy(zero_copy_only=False)))], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return blocks
+
+
+def _opened(run):
+    """A function over batches of ROW or MODEL (or some of their columns), to one over blocks of them."""
+
+    def batches_of(blocks):
+        for batch in blocks:
+            for i in range(batch.num_rows):
+                columns, rows = [], None
+                for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                    if name not in _PACKED:
+                        columns.append(column[i].as_py())
+                        continue
+                    values, *lengths = unpacked(column[i].as_py())
+                    column = pa.array(values.astype(_PACKED[name], copy=False))
+                    if lengths:
+                        column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths[0], dtype=np.int32)).astype(np.int32)), column)
+                    columns, rows = [*columns, column], len(column)
+                columns = [x if isinstance(x, pa.Array) else pa.array(np.full(rows, x, bool if isinstance(x, bool) else np.int32)) for x in columns]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return lambda blocks: run(batches_of(blocks))
+
+
+def _unpacked_rows(blocks: DataFrame, schema: str) -> DataFrame:
+    """Blocks as rows of `schema`."""
+    return blocks.select(*_columns(schema)).mapInArrow(lean(_opened(lambda batches: batches)), schema)
+
+
 def _nested(batches):
     """A task's pairs (k, kind, value) to rows of ROW, one for each name."""
     parts = {}
@@ -454,8 +520,8 @@ def _of(first: np.ndarray) -> np.ndarray:
 
 
 def _rows(batches):
-    """Runs of some ROWS rows of batches (w, ctx, cs, ...): the rows as one batch, w, first, ctx, cs."""
-    held, n = [], 0
+    """Runs of some ROWS rows, or VALUES pairs, of batches (w, ctx, cs, ...): the rows as one batch, w, first, ctx, cs."""
+    held, n, pairs = [], 0, 0
 
     def merged():
         part = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
@@ -467,9 +533,10 @@ def _rows(batches):
             continue
         held.append(batch)
         n += batch.num_rows
-        if n >= ROWS:
+        pairs += len(batch.column(1).flatten())
+        if n >= ROWS or pairs >= VALUES:
             yield merged()
-            held, n = [], 0
+            held, n, pairs = [], 0, 0
     if held:
         yield merged()
 
@@ -614,7 +681,7 @@ def _ask_words(rows: DataFrame, letters: DataFrame | None, shared, seed: int, ta
             yield from _letters(far[heavy], w[of[heavy]], fc[heavy], g)
         yield from _noted(total)
 
-    return _exchange(rows.where("side = 1"), letters, tasks).mapInArrow(run, LETTER)
+    return _exchange(rows.where("side = 1"), letters, tasks).mapInArrow(lean(run), LETTER)
 
 
 def _answer_contexts(rows: DataFrame, letters: DataFrame, shared, seed: int, tasks: int) -> DataFrame:
@@ -632,7 +699,7 @@ def _answer_contexts(rows: DataFrame, letters: DataFrame, shared, seed: int, tas
             yield from _letters(mate, w[at], sent, x)
         yield from _noted(total)
 
-    return _exchange(rows.where("side = 0"), letters, tasks).mapInArrow(run, LETTER)
+    return _exchange(rows.where("side = 0"), letters, tasks).mapInArrow(lean(run), LETTER)
 
 
 def _pass(dishes: DataFrame, chains: Chains, seed: int) -> np.ndarray:
@@ -659,7 +726,7 @@ def _pass(dishes: DataFrame, chains: Chains, seed: int) -> np.ndarray:
         yield from _summed(total, names)
 
     plain = dishes.where("not crossed").select("w", "ctx", "cs", "nf", "side")
-    return _collect(plain.mapInArrow(run, "i int, " + ", ".join(f"{x} long" for x in names)), 2 * size + 4).astype(np.int64)
+    return _collect(plain.mapInArrow(lean(_opened(run)), "i int, " + ", ".join(f"{x} long" for x in names)), 2 * size + 4).astype(np.int64)
 
 
 def _letter_sums(letters: DataFrame, size: int) -> np.ndarray:
@@ -731,7 +798,7 @@ def _model(side: int, w, first, ctx, c, t, customers, tables, n, far_first, far,
 
 
 def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tuple[DataFrame, Model]:
-    """docs (text) to the model: rows of MODEL, and what is of fixed size; w and far are the numbers of frequent words, else their hashes."""
+    """docs (text) to the model: blocks of rows of MODEL, and what is of fixed size; w and far are the numbers of frequent words, else their hashes."""
     sc = docs.sparkSession.sparkContext
     words_ = scratch.save(_counted(docs, lambda w, _: (w, [w]), "w long, c int").groupBy("w").agg(F.sum("c").alias("c")), "words")
     n_words, n_tokens = (x or 0 for x in words_.agg(F.count("*"), F.sum("c")).first())
@@ -743,9 +810,9 @@ def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tupl
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_tokens // TASK_TOKENS + 1)
     keys = one_to_one(tasks)
-    dishes = scratch.save(_counted_pairs(docs, known, keys).repartition(tasks, "k").mapInArrow(_nested, ROW), "dishes")
+    dishes = scratch.save(_counted_pairs(docs, known, keys).repartition(tasks, "k").mapInArrow(lean(_blocks(_nested)), _packed_schema(ROW)), "dishes")
     scratch.forget()
-    crossed = scratch.save(dishes.where("crossed"), "crossed")
+    crossed = scratch.save(_unpacked_rows(dishes.where("crossed"), ROW), "crossed")
 
     def census(batches):
         total = np.zeros((2 * size + 3, 3), np.int64)
@@ -765,7 +832,7 @@ def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tupl
             total[-1] += [own[~often].sum(), 0, 0]
         yield from _summed(total, ["a", "b", "c"])
 
-    found = _collect(dishes.select("w", "ctx", "cs", "nf", "side", "fc").mapInArrow(census, "i int, a long, b long, c long"), 2 * size + 3).astype(np.int64)
+    found = _collect(dishes.select("w", "ctx", "cs", "nf", "side", "fc").mapInArrow(lean(_opened(census)), "i int, a long, b long, c long"), 2 * size + 3).astype(np.int64)
     customers, pairs, per_word = found[:size, 0], found[:size, 1], found[size:-3, 0]
     d, d0 = _discount(*found[-3, :2]), _discount(*found[-2, :2])
     rare, rare_pairs = found[-2, 2], found[-1, 0]
@@ -834,12 +901,12 @@ def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tupl
             ft[fc >= 2] += x.mean(axis=1)  # in one order: rows by context and far word, letters by their receivers and senders
             yield _model(1, w, first, ctx, c, t, n, tables, n, far_first, far, fc, ft)
 
-    model = dishes.where("not crossed").select("w", "ctx", "cs", "nf", "side", "far").mapInArrow(run, MODEL)
+    model = dishes.where("not crossed").select("w", "ctx", "cs", "nf", "side", "far").mapInArrow(lean(_blocks(_opened(run))), _packed_schema(MODEL))
     if any_crossed:
         asked = scratch.save(_ask_words(crossed, letters, shared, 99, tasks), "asked")
         letters = scratch.save(_answer_contexts(crossed, asked, shared, 99, tasks), "letters")
-        model = model.union(_exchange(crossed.where("side = 0"), asked, tasks).mapInArrow(run_words, MODEL))
-        model = model.union(_exchange(crossed.where("side = 1"), letters, tasks).mapInArrow(run_contexts, MODEL))
+        model = model.union(_exchange(crossed.where("side = 0"), asked, tasks).mapInArrow(lean(_blocks(run_words)), _packed_schema(MODEL)))
+        model = model.union(_exchange(crossed.where("side = 1"), letters, tasks).mapInArrow(lean(_blocks(run_contexts)), _packed_schema(MODEL)))
     model = scratch.save(model, "model")
 
     def settle(batches):
@@ -856,7 +923,7 @@ def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tupl
             total[-2:, 0] += [customers[rest].sum(), tables[rest].sum()]
         yield from _summed(total, ["a"])
 
-    end = _collect(model.select("w", "ctx", "cs", "ts", "customers", "tables", "side").mapInArrow(settle, "i int, a double"), 2 * size + 2)[:, 0]
+    end = _collect(model.select("w", "ctx", "cs", "ts", "customers", "tables", "side").mapInArrow(lean(_opened(settle)), "i int, a double"), 2 * size + 2)[:, 0]
     for name in ("dishes", "words", "crossed", "asked", "letters", *(f"{x}{n}" for x in ("asked", "letters") for n in range(PASSES - 1))):
         scratch.drop(name)
     mean_t = np.mean([last.root_tables(k, np.rint(end[size:-2]).astype(np.int64), rng) for k in range(CHAINS)], axis=0) if size else np.zeros(0)
@@ -872,6 +939,7 @@ def train(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tuple[
     """The model with all restaurants numbered, for corpora whose words fit the driver: rows (w, ctx, cs, ts, customers, tables) with the averaged
     tables of every pair and, for words that are not frequent, customers and tables at the parent; w is the number of a frequent word, else its hash."""
     model, m = trained(docs, scratch, frequent)
+    model = _unpacked_rows(model, MODEL)
     found = model.where("side = 1").select("w", "customers", "tables").toArrow().sort_by("w")
     others, c, t = (found[x].to_numpy() for x in ("w", "customers", "tables"))
     number = docs.sparkSession.createDataFrame(pa.table({"name": others, "number": (len(m.frequent) + np.arange(len(others))).astype(np.int32)}))
@@ -902,7 +970,7 @@ def _least(model: DataFrame, size: int, most: int) -> int:
             total[:, 0] += np.bincount(_place(some), minlength=4200)
         yield from _summed(total, ["n"])
 
-    above = np.cumsum(_collect(model.where("side = 0").select("w", "ctx", "cs").mapInArrow(run, "i int, n long"), 4200)[::-1, 0])[::-1]
+    above = np.cumsum(_collect(model.where("side = 0").select("w", "ctx", "cs").mapInArrow(lean(_opened(run)), "i int, n long"), 4200)[::-1, 0])[::-1]
     place = int(np.argmax(above <= most)) if (above <= most).any() else 4199
     return max(2, place if place <= 4096 else (1 << (place - 4085)) + 1)
 
@@ -919,7 +987,7 @@ def _most_frequent(model: DataFrame, shared, least: int) -> tuple[np.ndarray, np
             p = m.probability(ctx[some], c[some], t, m.frequent[w[of[some]]])
             yield pa.RecordBatch.from_arrays([pa.array(pair_hash(w[of[some]], ctx[some])), pa.array(np.log10(p))], ["key", "lp"])
 
-    table = model.where("side = 0").select("w", "ctx", "cs", "ts").mapInArrow(run, "key long, lp double").toArrow()
+    table = model.where("side = 0").select("w", "ctx", "cs", "ts").mapInArrow(lean(_opened(run)), "key long, lp double").toArrow()
     order = np.argsort(table["key"].to_numpy())
     return table["key"].to_numpy()[order], table["lp"].to_numpy()[order]
 
@@ -1119,10 +1187,10 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 columns = [pa.array(ids[s], mask=none[s].astype(bool)), pa.array(n_tokens[s]), pa.array(np.rint(known[0][s]).astype(np.int64)), pa.array(known[1][s]), pa.array(known[2][s])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score"])
 
-    asked = rows.mapInArrow(ask, "k int, chunk long, kind int, value binary, texts binary")
-    told = model.mapInArrow(tell, "k int, kind int, value binary").select("k", F.lit(None).cast("long").alias("chunk"), "kind", "value", F.lit(None).cast("binary").alias("texts"))
-    met = asked.union(told).repartition(tasks, "k").mapInArrow(meet, "chunk long, own boolean, value binary")
-    out = met.repartition(tasks, "chunk").mapInArrow(settle, "doc_id long, n_tokens long, n_known long, base double, score double")
+    asked = rows.mapInArrow(lean(ask), "k int, chunk long, kind int, value binary, texts binary")
+    told = model.mapInArrow(lean(_opened(tell)), "k int, kind int, value binary").select("k", F.lit(None).cast("long").alias("chunk"), "kind", "value", F.lit(None).cast("binary").alias("texts"))
+    met = asked.union(told).repartition(tasks, "k").mapInArrow(lean(meet), "chunk long, own boolean, value binary")
+    out = met.repartition(tasks, "chunk").mapInArrow(lean(settle), "doc_id long, n_tokens long, n_known long, base double, score double")
     log_n = float(np.log10(v.tokens + v.words + 1))
     return out.select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"),

@@ -270,3 +270,26 @@ def test_edge_cases(spark):
     none = hpylm.score(df, lambda i: F.lit(True)).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in none)
     assert hpylm.score(df.limit(0), lambda i: F.col("doc_id") == 9).collect() == []
+
+
+def test_blocks_hold_rows_as_they_were(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(hpylm, "BLOCK", 3)
+    rows = [(-5 << 40, [1, 2], [1, 1 << 40], 0, 0, True, [], []), (7, [], [], 2, 0, False, [-3], [2]), (8, [4], [9], 1, 1, False, [], []), *((20 + i, [i] * i, [1] * i, i, 1, False, [-i], [i]) for i in range(5))]
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], hpylm._columns(hpylm.ROW))
+    blocks = list(hpylm._blocks(iter)([batch.slice(0, 2), batch.slice(2), batch.slice(0, 0)]))
+    assert [x.num_rows for x in blocks] == [1] * 4 and blocks[0].schema.field("w").type == pa.binary() and {(x["side"][0].as_py(), x["crossed"][0].as_py()) for x in blocks} == {(0, True), (0, False), (1, False)}
+    back = pa.Table.from_batches(hpylm._opened(iter)(blocks))
+    assert back.schema == batch.schema and sorted(back.to_pylist(), key=str) == sorted(batch.to_pylist(), key=str)
+    some = [x.select(["w", "ctx", "side"]) for x in blocks]
+    assert pa.Table.from_batches(hpylm._opened(iter)(some)).to_pylist() == back.select(["w", "ctx", "side"]).to_pylist()
+
+
+def test_pairs_worked_on_at_once_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(hpylm, "VALUES", 100, raising=False)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([[1] * 60], pa.list_(pa.int32())), pa.array([[2] * 60], pa.list_(pa.int64()))], ["w", "ctx", "cs"]) for i in range(5)]
+    assert [list(w) for _, w, *_ in hpylm._rows(batches)] == [[0, 1], [2, 3], [4]]
