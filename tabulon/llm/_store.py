@@ -51,8 +51,8 @@ _CODEC = pa.Codec("zstd", 1)
 def packed(*arrays: np.ndarray) -> bytes:
     """Number arrays as one compressed value; bytes of one rank stand together, as high ones repeat."""
     head = struct.pack("<I", len(arrays)) + b"".join(a.dtype.str.encode().ljust(4) + struct.pack("<q", len(a)) for a in arrays)
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
-    raw = head + body
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T for a in arrays)
+    raw = b"".join((head, *(np.ascontiguousarray(x).tobytes() for x in planes)))  # tobytes() alone would copy a transposed array byte by byte
     return struct.pack("<q", len(raw)) + _CODEC.compress(raw, asbytes=True)
 
 

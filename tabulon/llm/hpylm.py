@@ -33,7 +33,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +95,38 @@ class Places:
         return at
 
 
+class Sorted:
+    """Places of numbers among sorted hashes, as np.searchsorted has them: from where their first bits begin, in a few steps."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.shift = np.uint64(64 - max(4, len(names).bit_length()))
+        self.begin = np.zeros((1 << (64 - int(self.shift))) + 1, np.int32)
+        np.cumsum(np.bincount(self.slot(names), minlength=len(self.begin) - 1), out=self.begin[1:])
+
+    def slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places that exist, and whether the number is there."""
+        if not len(self.names):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        last, at = len(self.names) - 1, self.begin[self.slot(x)].astype(np.int64)
+        np.minimum(at, last, out=at)
+        here = self.names[at]
+        found, on = here == x, np.flatnonzero((here < x) & (at < last))
+        for _ in range(8):
+            if not len(on):
+                return at, found
+            at[on] += 1
+            here = self.names[at[on]]
+            found[on] = here == x[on]
+            on = on[(here < x[on]) & (at[on] < last)]
+        at[on] = np.minimum(np.searchsorted(self.names, x[on]), last)
+        found[on] = self.names[at[on]] == x[on]
+        return at, found
+
+
 @dataclass
 class Vocabulary:
     """The frequent words' hashes in order (a word's number is its place) and counts; words and tokens of the corpus; if numbered, the other
@@ -193,29 +224,44 @@ def _sent(task: np.ndarray, w: np.ndarray, ctx: np.ndarray, more: list[np.ndarra
         yield int(task[a]), packed(w[a:b][at], n.astype(np.uint32), ctx[a:b], *(x[a:b] for x in more))
 
 
-def _counted(docs: DataFrame, seen, schema: str) -> DataFrame:
-    """Rows of `schema` (keys, then their count c) over runs of some COUNT_TOKENS tokens. seen: (word, before) to (a hash of the keys, the keys)."""
+def _counted_words(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """(w, c): words and their counts. Runs of some COUNT_TOKENS tokens send theirs packed, to one task for each word."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
         def flush():
-            key, keys = seen(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            word = np.sort(np.concatenate(held))
             held.clear()
-            _, at, c = np.unique(key, return_index=True, return_counts=True)
-            for a in range(0, len(at), 1 << 17):
-                some = at[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(k[some]) for k in keys), pa.array(c[a : a + (1 << 17)].astype(np.int32))], [x.split(" ")[0] for x in schema.split(", ")])
+            at, c = _runs(word)
+            word = word[at]
+            task = (mix(word.view(np.uint64)) % np.uint64(len(keys))).astype(np.int64)
+            order = np.argsort(task, kind="stable")
+            word, c, bounds = word[order], c[order].astype(np.uint32), _bounds(task[order])
+            columns = [pa.array(keys[[task[order[a]] for a, _ in bounds]]), pa.array([packed(word[a:b], c[a:b]) for a, b in bounds], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "value"])
 
         for batch in batches:
             for _, _, data, offs in slices(batch, 0):
-                held.append(tokens(data, offs)[:2])
-                if sum(len(x[0]) for x in held) >= COUNT_TOKENS:
+                held.append(tokens(data, offs)[0])
+                if sum(map(len, held)) >= COUNT_TOKENS:
                     yield from flush()
         if held:
             yield from flush()
 
-    return docs.select(utf8("text")).mapInArrow(lean(run), schema)
+    def summed(batches):
+        parts = [unpacked(x.as_py()) for batch in batches for x in batch.column(1)]
+        if not parts:
+            return
+        word, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word)
+        at, _ = _runs(word[order])
+        word, c = word[order[at]], np.add.reduceat(c[order].astype(np.int64), at)
+        for a in range(0, len(word), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(word[a : a + (1 << 17)]), pa.array(c[a : a + (1 << 17)])], ["w", "c"])
+
+    sent = docs.select(utf8("text")).mapInArrow(lean(run), "k int, value binary")
+    return sent.repartition(len(keys), "k").mapInArrow(lean(summed), "w long, c long")
 
 
 def _firsts(w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -261,9 +307,11 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values of one kind as names, others and counts, in order, each pair once."""
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+    names, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    place = np.repeat(place, np.concatenate([p[1] for p in parts]))
     ctx, c = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
-    order = np.lexsort((ctx, w))
+    order = np.argsort((place.astype(np.uint64) << np.uint64(32)) | ctx) if ctx.dtype == np.uint32 else np.lexsort((ctx, place))
+    w = names[place]
     w, ctx, c = w[order], ctx[order], c[order].astype(np.int64)
     first = _firsts(w, ctx)
     return w[first], ctx[first].astype(np.int64), np.add.reduceat(c, first)
@@ -407,20 +455,29 @@ def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator
     if not len(c):
         return out
     log_x, s = np.log(np.maximum(x, 1e-300)), stirling(d)
-    order = np.argsort(c, kind="stable")
-    sizes, starts = np.unique(c[order], return_index=True)
-    for n, a, b in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)], strict=True):
+    order = np.argsort(np.minimum(c, EXACT + 1).astype(np.uint16), kind="stable")
+    starts, lengths = _runs(np.minimum(c[order], EXACT + 1))
+    for n, a, b in zip(c[order[starts]].tolist(), starts.tolist(), (starts + lengths).tolist(), strict=True):
         if n == 1:
             continue
         if n > EXACT:
             rows = order[a:]
+            rows = rows[np.argsort(c[rows], kind="stable")]
             out[rows] = _many(c[rows], x[rows], d, rng)
             break
-        for at in range(a, b, 1 << 15):
-            rows = order[at : min(b, at + (1 << 15))]
-            weight = s[n, 1 : n + 1] + log_x[rows, None] * np.arange(1, n + 1)
-            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            out[rows] = 1 + (weight < rng.random(len(rows))[:, None] * weight[:, -1:]).sum(axis=1)
+        step, t = max(1 << 10, (1 << 16) // n), np.arange(1, n + 1)
+        for at in range(a, b, step):
+            rows = order[at : min(b, at + step)]
+            if len(rows) < 4 * n:
+                weight = s[n, 1 : n + 1] + log_x[rows, None] * t
+                weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                out[rows] = 1 + (weight < rng.random(len(rows))[:, None] * weight[:, -1:]).sum(axis=1)
+                continue
+            weight = s[n, 1 : n + 1, None] + log_x[rows] * t[:, None]  # a row for each t: the same sums, over many pairs at once
+            weight = np.exp(weight - weight.max(axis=0))
+            for i in range(1, n):
+                weight[i] += weight[i - 1]
+            out[rows] = 1 + (weight < rng.random(len(rows)) * weight[-1]).sum(axis=0)
     return out
 
 
@@ -573,48 +630,75 @@ def _summed(total: np.ndarray, names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(total[at, j]) for j in range(total.shape[1]))], ["i", *names])
 
 
-#: What a name sends to another: of a pair the receiver (key), the sender (mate), its customers and a number for each chain. Sums have no mate.
-LETTER = "key long, mate long, c long, x array<double>"
+#: What names send to others, packed by the receivers' task: the receiver and the sender of a pair, its customers and a number for each chain. Sums have no k.
+LETTERS = "k int, value binary"
+
 
+def _homes(w: np.ndarray, tasks: int) -> np.ndarray:
+    """The tasks of names that are not frequent words."""
+    return dealt(w, np.zeros(len(w), np.int64), 0, tasks)
 
-def _letters(key: np.ndarray, mate: np.ndarray | None, c: np.ndarray | None, x: np.ndarray):
-    for a in range(0, len(key), 1 << 14):
-        s = slice(a, a + (1 << 14))
-        n = len(key[s])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(x.shape[1])), pa.array(x[s].astype(float).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(key[s]), *(pa.nulls(n, pa.int64()) if y is None else pa.array(y[s]) for y in (mate, c)), lists], _columns(LETTER))
+
+def _letters(keys: np.ndarray, key: np.ndarray, mate: np.ndarray, c: np.ndarray, x: np.ndarray):
+    home = _homes(key, len(keys))
+    order = np.argsort(home, kind="stable")
+    bounds = _bounds(home[order])
+    for at in range(0, len(bounds), 1 << 8):
+        rows = [(home[order[a]], packed(*(y[order[a:b]] for y in (key, mate, c)), x[order[a:b]].astype(float).ravel())) for a, b in bounds[at : at + (1 << 8)]]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[[k for k, _ in rows]]), pa.array([y for _, y in rows], pa.binary())], _columns(LETTERS))
 
 
 def _noted(total: np.ndarray):
     some = np.flatnonzero(total.any(axis=1)) if len(total) else np.zeros(0, np.int64)
-    yield from _letters(some, None, None, total[some])
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([packed(some.astype(np.int32), *total[some].T)], pa.binary())], _columns(LETTERS))
+
+
+def _by_home(dishes: DataFrame, keys: np.ndarray) -> DataFrame:
+    """Crossed rows of blocks, (k, side, value), packed by their names' task."""
+
+    def run(batches):
+        for batch in batches:
+            w, side = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            lists = [_list(batch.column(i)) for i in (1, 2, 4, 5)]
+            home = _homes(w, len(keys)) * 2 + side
+            order = np.argsort(home, kind="stable")
+            rows = []
+            for a, b in _bounds(home[order]):
+                some = order[a:b]
+                (first, ctx, c), (far_first, far, fc) = (_picked(some, lists[i][0], lists[i][1], lists[i + 1][1]) for i in (0, 2))
+                rows.append((home[some[0]], packed(w[some], *(_least_type(y) for y in (np.diff(first), ctx, c, np.diff(far_first), far, fc)))))
+            columns = [pa.array(keys[[k // 2 for k, _ in rows]]), pa.array([k % 2 for k, _ in rows], pa.int32()), pa.array([y for _, y in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "side", "value"])
+
+    return dishes.where("crossed").select("w", "ctx", "cs", "side", "far", "fc").mapInArrow(lean(_opened(run)), "k int, side int, value binary")
 
 
 def _exchange(rows: DataFrame, letters: DataFrame | None, tasks: int) -> DataFrame:
-    """Rows (w, ctx, cs, far, fc) and the letters to them, each with its name's task."""
-    none = lambda *x: [F.lit(None).cast(t.split(" ", 1)[1]).alias(t.split(" ", 1)[0]) for t in x]
-    out = rows.select("w", "ctx", "cs", "far", "fc", *none(*LETTER.split(", ")[1:]))
+    """Rows (k, value, letter) of `_by_home` and the letters to them, each with its name's task."""
+    out = rows.select("k", "value", F.lit(False).alias("letter"))
     if letters is not None:
-        kinds_ = dict(rows.dtypes)
-        out = out.union(letters.where("mate is not null").select("key", *none(*(f"{x} {kinds_[x]}" for x in ("ctx", "cs", "far", "fc"))), "mate", "c", "x"))
-    return out.repartition(tasks, "w")
+        out = out.union(letters.where("k is not null").select("k", "value", F.lit(True)))
+    return out.repartition(tasks, "k")
 
 
 def _met(batches):
     """A task's rows in order (w, first, ctx, cs, first far, far, fc) and its letters in order: their rows, mates, customers and numbers."""
-    held = [x for x in batches if x.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    rows = table.filter(pc.is_null(table["mate"])).sort_by("w").combine_chunks()
-    letters = table.filter(pc.is_valid(table["mate"])).sort_by([("w", "ascending"), ("mate", "ascending")]).combine_chunks()
-    if not len(rows):
+    parts: dict[bool, list] = {False: [], True: []}
+    for batch in batches:
+        for value, letter in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            parts[letter].append(unpacked(value.as_py()))
+    if not parts[False]:
         return
-    flat = lambda x, i: x.column(i).chunk(0) if len(x) else pa.array([], x.schema.field(i).type)
-    (first, ctx), (_, c), (far_first, far), (_, fc) = (_list(flat(rows, i)) for i in (1, 2, 3, 4))
-    w = rows["w"].to_numpy()
-    x = _list(flat(letters, 7))[1].reshape(len(letters), -1) if len(letters) else np.zeros((0, 1))
-    yield w, first, ctx.astype(np.int64), c, far_first, far, fc, np.searchsorted(w, letters["w"].to_numpy()), letters["mate"].to_numpy(), letters["c"].to_numpy(), x
+    w, n, ctx, c, n_far, far, fc = (np.concatenate(x).astype(np.int64) for x in zip(*parts[False], strict=True))
+    order = np.argsort(w)
+    first, ctx, c = _picked(order, np.append(0, np.cumsum(n)), ctx, c)
+    far_first, far, fc = _picked(order, np.append(0, np.cumsum(n_far)), far, fc)
+    w = w[order]
+    key, mate, sent, x = (np.concatenate(y) for y in zip(*parts[True], strict=True)) if parts[True] else (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
+    order = np.lexsort((mate, key))
+    x = x.reshape(len(key), -1)[order] if len(key) else np.zeros((0, 1))
+    yield w, first, ctx, c, far_first, far, fc, np.searchsorted(w, key[order]), mate[order], sent[order], x
 
 
 def _seated_contexts(chains: Chains, seed: int, n_chains: int, w, first, ctx, c, base: np.ndarray, rounds: int):
@@ -660,8 +744,8 @@ def _crossed_words(met, chains: Chains, seed: int, n_chains: int):
         yield k, np.diff(all_first) + nf, all_ctx, t, customers, tables, place[: len(ctx)], place[len(ctx) :]
 
 
-def _ask_words(rows: DataFrame, letters: DataFrame | None, shared, seed: int, tasks: int) -> DataFrame:
-    """Contexts with far pairs that have more customers than one: LETTERs to the words with g, and sums. letters: those pairs' tables beyond one."""
+def _ask_words(rows: DataFrame, letters: DataFrame | None, shared, seed: int, keys: np.ndarray) -> DataFrame:
+    """Contexts with far pairs that have more customers than one: LETTERS to the words with g, and sums. letters: those pairs' tables beyond one."""
 
     def run(batches):
         chains = shared.value
@@ -678,14 +762,14 @@ def _ask_words(rows: DataFrame, letters: DataFrame | None, shared, seed: int, ta
                 tables += all_ / CHAINS
                 g[:, k] = rng.gamma(chains.theta / chains.d + all_)[of[heavy]]
             _sum_of(total, chains, np.bincount(_of(first), c, n) + np.bincount(of, fc, n), tables)
-            yield from _letters(far[heavy], w[of[heavy]], fc[heavy], g)
+            yield from _letters(keys, far[heavy], w[of[heavy]], fc[heavy], g)
         yield from _noted(total)
 
-    return _exchange(rows.where("side = 1"), letters, tasks).mapInArrow(lean(run), LETTER)
+    return _exchange(rows.where("side = 1"), letters, len(keys)).mapInArrow(lean(run), LETTERS)
 
 
-def _answer_contexts(rows: DataFrame, letters: DataFrame, shared, seed: int, tasks: int) -> DataFrame:
-    """Words with such pairs: LETTERs to the contexts with their tables beyond one, and sums."""
+def _answer_contexts(rows: DataFrame, letters: DataFrame, shared, seed: int, keys: np.ndarray) -> DataFrame:
+    """Words with such pairs: LETTERS to the contexts with their tables beyond one, and sums."""
 
     def run(batches):
         chains = shared.value
@@ -696,10 +780,10 @@ def _answer_contexts(rows: DataFrame, letters: DataFrame, shared, seed: int, tas
             for k, own, ctx, t, customers, tables, _, theirs in _crossed_words(met, chains, seed, CHAINS):
                 _word_sums(total, k, size, w, ctx, t, own, customers, tables)
                 x[:, k] = t[theirs] - 1
-            yield from _letters(mate, w[at], sent, x)
+            yield from _letters(keys, mate, w[at], sent, x)
         yield from _noted(total)
 
-    return _exchange(rows.where("side = 0"), letters, tasks).mapInArrow(lean(run), LETTER)
+    return _exchange(rows.where("side = 0"), letters, len(keys)).mapInArrow(lean(run), LETTERS)
 
 
 def _pass(dishes: DataFrame, chains: Chains, seed: int) -> np.ndarray:
@@ -730,7 +814,14 @@ def _pass(dishes: DataFrame, chains: Chains, seed: int) -> np.ndarray:
 
 
 def _letter_sums(letters: DataFrame, size: int) -> np.ndarray:
-    some = letters.where("mate is null").select(F.col("key").cast("int").alias("i"), *(F.col("x")[k].alias(f"v{k}") for k in range(CHAINS)))
+    def run(batches):
+        for batch in batches:
+            for value in batch.column(1):
+                i, *v = unpacked(value.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(i), *map(pa.array, v)], names)
+
+    names = ["i", *(f"v{k}" for k in range(CHAINS))]
+    some = letters.where("k is null").mapInArrow(lean(run), "i int, " + ", ".join(f"{x} long" for x in names[1:]))
     return _collect(some, 2 * size + 4).astype(np.int64)
 
 
@@ -800,7 +891,7 @@ def _model(side: int, w, first, ctx, c, t, customers, tables, n, far_first, far,
 def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tuple[DataFrame, Model]:
     """docs (text) to the model: blocks of rows of MODEL, and what is of fixed size; w and far are the numbers of frequent words, else their hashes."""
     sc = docs.sparkSession.sparkContext
-    words_ = scratch.save(_counted(docs, lambda w, _: (w, [w]), "w long, c int").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    words_ = scratch.save(_counted_words(docs, one_to_one(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "words")
     n_words, n_tokens = (x or 0 for x in words_.agg(F.count("*"), F.sum("c")).first())
     top = words_.orderBy(F.desc("c"), "w").limit(frequent).toArrow()  # at most `frequent` pairs of numbers
     order = np.argsort(top["w"].to_numpy())
@@ -812,7 +903,7 @@ def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tupl
     keys = one_to_one(tasks)
     dishes = scratch.save(_counted_pairs(docs, known, keys).repartition(tasks, "k").mapInArrow(lean(_blocks(_nested)), _packed_schema(ROW)), "dishes")
     scratch.forget()
-    crossed = scratch.save(_unpacked_rows(dishes.where("crossed"), ROW), "crossed")
+    crossed = scratch.save(_by_home(dishes, keys), "crossed")
 
     def census(batches):
         total = np.zeros((2 * size + 3, 3), np.int64)
@@ -857,8 +948,8 @@ def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tupl
         sums = _pass(dishes, now, n)
         if any_crossed:
             shared = sc.broadcast(now)
-            asked = scratch.save(_ask_words(crossed, letters, shared, n, tasks), f"asked{n}")
-            letters = scratch.save(_answer_contexts(crossed, asked, shared, n, tasks), f"letters{n}")
+            asked = scratch.save(_ask_words(crossed, letters, shared, n, keys), f"asked{n}")
+            letters = scratch.save(_answer_contexts(crossed, asked, shared, n, keys), f"letters{n}")
             sums += _letter_sums(asked, size) + _letter_sums(letters, size)
         tables, c_often = pairs[:, None] + sums[:size], per_word[:, None] + sums[size:-4]
         c_rest, t_rest = sums[-4], sums[-3]
@@ -903,8 +994,8 @@ def trained(docs: DataFrame, scratch: Scratch, frequent: int = FREQUENT) -> tupl
 
     model = dishes.where("not crossed").select("w", "ctx", "cs", "nf", "side", "far").mapInArrow(lean(_blocks(_opened(run))), _packed_schema(MODEL))
     if any_crossed:
-        asked = scratch.save(_ask_words(crossed, letters, shared, 99, tasks), "asked")
-        letters = scratch.save(_answer_contexts(crossed, asked, shared, 99, tasks), "letters")
+        asked = scratch.save(_ask_words(crossed, letters, shared, 99, keys), "asked")
+        letters = scratch.save(_answer_contexts(crossed, asked, shared, 99, keys), "letters")
         model = model.union(_exchange(crossed.where("side = 0"), asked, tasks).mapInArrow(lean(_blocks(run_words)), _packed_schema(MODEL)))
         model = model.union(_exchange(crossed.where("side = 1"), letters, tasks).mapInArrow(lean(_blocks(run_contexts)), _packed_schema(MODEL)))
     model = scratch.save(model, "model")
@@ -1114,11 +1205,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
         def ordered(key, *more):
             order = np.argsort(key)
-            return key[order], *(x[order] for x in more)
-
-        def find(names, x):
-            at = np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0))
-            return at, names[at] == x if len(names) else np.zeros(len(x), bool)
+            return Sorted(key[order]), *(x[order] for x in more)
 
         told = ("<i8", "<u4", "<u4", "<i8", "<f4", "<f4", "<f4", "<i8")
         w, n, ctx, c, t, customers, tables, count = joined(0, *told)
@@ -1134,8 +1221,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         at_contexts = ordered(pair_hash(u[of], w), np.log10((c - m.d * t) * inverse[of] + backoff[of] * m.frequent[w]))
         u, shares = ordered(u, np.log10(backoff))
         w, mate, adds = joined(2, "<i8", "<i8", "<f4")
-        at, found = find(rare, w)
-        far = ordered(pair_hash(w, mate), np.log10(1 + adds / (root[at] if len(rare) else 1.0)))
+        at, found = rare.find(w)
+        far = ordered(pair_hash(w, mate), np.log10(1 + adds / (root[at] if len(root) else 1.0)))
 
         for chunk, kind, value, texts in asked:
             w, n, ctx, times = unpacked(value)
@@ -1143,22 +1230,22 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             of, ctx = np.repeat(np.arange(len(w)), n), ctx.astype(np.int64)
             found = base = np.zeros(len(w))
             if kind % 2:
-                at, seen = find(u, w)
-                share = np.where(seen, shares[at], 0.0) if len(u) else np.zeros(len(w))
+                at, seen = u.find(w)
+                share = np.where(seen, shares[at], 0.0) if len(shares) else np.zeros(len(w))
                 found = np.zeros(len(w), bool)
                 total = share[of] + (np.log10(m.frequent[ctx]) if kind == 1 else 0.0)
             else:
                 often = (w >= 0) & (w < size)
-                at, found = find(rare, w)
+                at, found = rare.find(w)
                 found = found & ~often
                 parent = np.full(len(w), m.unseen)
                 parent[often], parent[found] = m.frequent[w[often]], root[at[found]]
-                base = np.where(found, lc[at], 0.0) if len(rare) else np.zeros(len(w))
+                base = np.where(found, lc[at], 0.0) if len(lc) else np.zeros(len(w))
                 total = np.log10(parent)[of] if kind else np.log10(m.backoff[ctx] * parent[of])
             if kind < 3:
                 key, lp = (at_words, at_contexts, far)[kind]
-                at, seen = find(key, pair_hash(w[of], ctx))
-                if len(key):
+                at, seen = key.find(pair_hash(w[of], ctx))
+                if len(lp):
                     total = np.where(seen, total + lp[at] if kind == 2 else lp[at], total)
             of, times = np.repeat(of, times), np.repeat(total, times)
             other = np.flatnonzero(found[of])

@@ -293,3 +293,41 @@ def test_pairs_worked_on_at_once_are_bounded(monkeypatch):
     monkeypatch.setattr(hpylm, "VALUES", 100, raising=False)
     batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([[1] * 60], pa.list_(pa.int32())), pa.array([[2] * 60], pa.list_(pa.int64()))], ["w", "ctx", "cs"]) for i in range(5)]
     assert [list(w) for _, w, *_ in hpylm._rows(batches)] == [[0, 1], [2, 3], [4]]
+
+
+def test_what_is_exchanged_is_packed(spark, monkeypatch):
+    """Words, crossed names and letters travel as a few rows for each task (a row for each word, name or pair before: CPU seconds)."""
+    rng = random.Random(9)
+    texts = [" ".join(x for i in rng.sample(range(300), 60) for x in (f"u{i}", f"w{i % 150}")) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    saved, plans = {}, {}
+
+    class Spied(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            saved[name], plans[name] = out.count(), df._jdf.queryExecution().analyzed().toString()
+            return out
+
+    _, m = hpylm.trained(docs, Spied(spark, "t"), 5)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert m.vocabulary.tokens == sum(len(words(t)) for t in texts) and m.vocabulary.words == len({w for t in texts for w in words(t)}) == saved["words"]
+    assert 0 < saved["crossed"] <= 2 * tasks < 300
+    assert all(0 < saved[x] <= tasks * (tasks + 1) for x in ("asked0", "letters0", "asked1", "letters1", "asked", "letters"))
+    assert "Aggregate" not in plans["words"] and "value#" in plans["words"]
+
+
+def test_places_in_sorted_hashes_are_those_of_a_search():
+    rng = np.random.default_rng(2)
+    far = rng.integers(-(1 << 63), (1 << 63) - 1, 3000)
+    for names in (far, np.arange(-40, 500), np.array([-5, -5, 3, 3, 3]), np.repeat(far[:50], 30), np.array([7]), np.zeros(0, np.int64)):
+        names = np.sort(names)
+        asked = np.concatenate([names, names + 1, rng.integers(-(1 << 63), (1 << 63) - 1, 500), [-(1 << 63), (1 << 63) - 1, 0]])
+        at, found = hpylm.Sorted(names).find(asked)
+        want = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
+        assert (at == want).all() and (found == np.isin(asked, names)).all()
+
+
+def test_counts_of_one_pair_in_several_parts_are_added():
+    for kind in (np.uint32, np.int64):
+        parts = [(np.array([9, -4]), np.array([2, 1], np.uint32), np.array([7, 1, 5], kind), np.array([1, 2, 3], np.uint32)), (np.array([-4, 9, 2]), np.array([1, 1, 1], np.uint32), np.array([5, 7, 0], kind), np.array([4, 5, 6], np.uint32))]
+        assert [x.tolist() for x in hpylm._merged(parts)] == [[-4, 2, 9, 9], [5, 0, 1, 7], [7, 6, 2, 6]]
